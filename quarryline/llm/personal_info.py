@@ -64,19 +64,20 @@ _phone = re.compile(
     r"(?<![\w/.\-+])(?:\+1[ .\-]\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|\+\d{1,3} ?\(\d{1,4}\) ?\d{1,4}[ .\-/]{1,3}\d{4,8}|\+\d{8,15}|\+\d{1,3}(?:[ .\-]\d{2,4}){3}(?![ .\-]?\d)|\+\d{1,3}(?:[ .\-/]\d{1,8}){1,3}|00[1-9]\d{7,13}|\(\d{2,5}\)\s?\d{3,4}[\-.\s]?\d{3,4}|\d{3}[\-.\s]\d{3}[\-.\s]\d{4}|0\d{4}\s\d{6}|0\d{3}\s\d{3}\s\d{3,4}|0\d{9,10}|\d{3}[\-.]\d{4})(?:,?\s?(?:ext\.?|extn\.?|x|int\.?|تحويلة)\s?\d{1,5})?(?![\w/]|[\-.]\d)",
     re.I,
 )
-_masked = re.compile(r"\[[A-Za-z_ ]+\]|<[A-Z_]+>", re.I)
+_masked = re.compile(r"\[[A-Za-z_]{4,}(?: [A-Za-z_]+)*\]|<[A-Z_]{4,}>", re.I)
 
 _tok = r"[^\W\d_]+(?:['\-][^\W\d_]+)*"
 _token = re.compile(rf"{_tok}")
 _particles = set("van von bin bint ibn abu al el de del der den la da dos di ter ben ten zu le بن بنت أبو ابو آل عبد".split())
 _before = re.compile(
     r"(?:\bmy name is|\bi'm|\bi am|\bthis is|\bcalled|\bpatient name:|\bpatient:|\bname:|\bsigned,|\bask for|\basked for|\b(?:dr|mr|mrs|ms|miss|prof|sister|nurse|doctor)\.?(?=\s)|\bmy (?:daughter|son|wife|husband|mother|father|sister|brother|carer|partner|neighbour|friend)(?: is)?|\b(?:husband|wife|daughter|son|mother|father|brother|sister)\s\(|\bregards,|\byours,|\bcare of|\bc/o"
-    r"|\bme llamo|\bmi nombre es|\bsoy|\bpaciente:|\bnombre:|\bfirmado:?,?|\bpregunten por|\b(?:el|la) (?:doctor|doctora)|\b(?:dr|dra|sr|sra|srta)\.(?=\s)|\bmi (?:hija|hijo|esposa|esposo|marido|mujer|madre|padre|hermana|hermano|vecina|vecino|cuidadora|cuidador)(?: se llama)?|\bla señora|\bel señor|\b(?:marido|esposa|esposo|mujer|hija|hijo)\s\("
+    r"|\bme llamo|\bmi nombre es|\bsoy|\bpaciente:|\bnombre:|\bfirmado:?,?|\bpregunten por|\b(?:el|la) doctora?\b|\b(?:dr|dra|sr|sra|srta)\.(?=\s)|\bmi (?:hija|hijo|esposa|esposo|marido|mujer|madre|padre|hermana|hermano|vecina|vecino|cuidadora|cuidador)(?: se llama)?|\bla señora|\bel señor|\b(?:marido|esposa|esposo|mujer|hija|hijo)\s\("
     r"|اسمي|أنا|الدكتورة|الدكتور|السيدة|السيد|ابنتي|ابني|زوجتي|زوجي|والدتي|والدي|أخي|أختي|جارتي|جاري|المريضة:|المريض:|الاسم:|اسأل عن|اسألوا عن|التوقيع:?|مقدم الرعاية)\s*",
     re.I,
 )
 _after = re.compile(r"\s*(?:said\b|says\b|noticed\b|told me\b|wrote\b|called me\b|saw me\b|brings me\b|takes me\b|dijo\b|lo notó\b|me vio\b|me acompaña\b|لاحظ|لاحظت|قال|قالت)", re.I)
 _not_after = re.compile(r"^(?:'s\s+(?:\w+\s+)?(?:disease|syndrome|palsy|sign|test|stone|rash|cyst|tremor|phenomenon|tear|\w+itis)|\s+(?:ward|unit|wing|general hospital|hospital|clinic|pharmacist|pharmacy|centre|center|street|road|lane|avenue|disease|syndrome)\b)", re.I)
+_right = re.compile(r"\s*(?:[.)\n]|$|  |,? ?(?:born|said|says|noticed|brings|takes|saw me|at the desk|from next|had the|writing|dijo|lo notó|me vio|me acompaña|y escribo|en recepción|وأكتب|ترافقني|يرافقني|فحصني|لاحظ|قال))", re.I)
 _not_before = re.compile(r"(?:\bat|\bin|\bto|\bfrom|\bon|\ben|\bby|\bof|\bthe|\btakes|\btomo|\bother|\bapart from|قسم|مستشفى|دواء)\s*$", re.I)
 #: Words that begin or end sentences about other things and are never part of a name.
 _ordinary = set(
@@ -106,8 +107,10 @@ def _name_tokens(text: str, at: int, lex: Lexicon, cued: bool) -> int:
         known = low in lex.names or any(p in lex.names for p in low.split("-"))
         rest = text[stop : stop + 2]
         closed = not text[stop:].strip() or text[stop : stop + 1] in ".,;)\n:" or text[stop : stop + 2] == "  "
-        if len(word) == 1 and text[stop : stop + 1] == "." and not word.islower():
+        if len(word) == 1 and text[stop : stop + 1] == "." and (not word.islower() or flat and (words or cued)):
             stop += 1
+        elif low.split("-")[0] in _particles and "-" in low and words:
+            pass
         elif low in _particles and words:
             nxt = _token.match(text, stop + 1) if rest[:1] == " " else None
             if not nxt or nxt.group(0).lower() in _ordinary:
@@ -132,7 +135,8 @@ def _name_tokens(text: str, at: int, lex: Lexicon, cued: bool) -> int:
             pos = stop + 1
         elif text[stop : stop + 2] == ", " and not commas and words == 1:
             nxt = _token.match(text, stop + 2)
-            if not nxt or not (nxt.group(0).lower() in lex.names) or nxt.group(0).lower() in lex.ordinary:
+            second = nxt.group(0).lower() if nxt else ""
+            if not nxt or second in _ordinary or second in lex.ordinary or not (second in lex.names or (nxt.group(0)[:1].isupper() or flat) and _right.match(text, nxt.end())):
                 break
             commas += 1
             pos = stop + 2
@@ -177,7 +181,7 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     for m in _before.finditer(t):
         a = m.end()
         b = _name_tokens(t, a, lex, True)
-        if b > a and not _not_after.match(t[b:]):
+        if b > a and not t[b:].startswith("'s "):
             word = m.group(0).strip().lower()
             loose = word in ("i'm", "i am", "this is", "called", "soy", "أنا")
             first = _token.match(t, a).group(0).lower() if _token.match(t, a) else ""
@@ -204,6 +208,11 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
             continue
         parts = [p.lower() for p in _token.findall(t[a:b])]
         several = sum(p in lex.names or any(q in lex.names for q in p.split("-")) for p in parts) >= 2 and not all(p in lex.ordinary for p in parts)
+        back = re.search(rf"(?:^|[\s(])({_tok}), $", t[:a]) if said else None
+        if back and back.group(1)[:1].isupper() and len(parts) == 1:  # family name first
+            low = back.group(1).lower()
+            if low not in lex.ordinary and low not in _ordinary and free(back.start(1), a):
+                a = back.start(1)
         if (said and (parts[0] not in lex.ordinary or len(parts) > 1 or parts[0] in lex.names)) or (several and not _not_before.search(t[:a]) and (t[a].isupper() or not t[a].isascii() or t.islower())):
             take(a, b, "name")
     return sorted(taken)
