@@ -208,6 +208,9 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
             continue
         parts = [p.lower() for p in _token.findall(t[a:b])]
         several = sum(p in lex.names or any(q in lex.names for q in p.split("-")) for p in parts) >= 2 and not all(p in lex.ordinary for p in parts)
+        while said and (front := re.search(rf"(?:^|[\s(])({_tok}) $", t[:a])) and front.group(1)[:1].isupper() and front.group(1).lower() not in lex.ordinary | _ordinary and free(front.start(1), a):
+            a = front.start(1)
+            parts.insert(0, front.group(1).lower())
         back = re.search(rf"(?:^|[\s(])({_tok}), $", t[:a]) if said else None
         if back and back.group(1)[:1].isupper() and len(parts) == 1:  # family name first
             low = back.group(1).lower()
