@@ -5,6 +5,407 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import text as T
+from .operators import evidence, guards, ingest, retrieval, sessions
+from .plans import answering
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# White space of a text, as RE2 writes it.
+W = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{W}]+|[{W}]+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '[{W}]+', ' ', 'g')")
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({x}, ''), '[{W}]+'), lambda w: w <> '')"
+
+
+def _terms(x: str) -> str:
+    marks = T.TERM_PUNCTUATION.replace("'", "''")
+    return f"list_distinct(list_transform(list_filter(list_transform({_words(x)}, lambda w: trim(w, '{marks}')), lambda w: length(w) > 2), lambda w: lower(w)))"
+
+
+def _any(x: str, values: list[str]) -> str:
+    return "(" + " or ".join("contains({}, '{}')".format(x, v.replace("'", "''")) for v in values) + ")"
+
+
+# Ingestion ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""select article_id, cleaned_at, {_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, 'http[^{W}]+', '', 'g'), '[^{W}]+@[^{W}]+', '', 'g'), 'Page last reviewed.*?[0-9]{{4}}', '', 'g'), 'Next review due.*?[0-9]{{4}}', '', 'g'), '(?m)^[{W}]*Contents[{W}]*$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")} as content from articles""")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "articles")
+    return a.select("article_id", "cleaned_at", T.clean_text(F.col("content"), F.col("source_dir")).alias("content"))
+
+
+@query(f"""select article_id, cleaned_at, case when length({_strip('content')}) > 0 and length({_strip("substr(content, 1, 400)")}) / length({_strip('content')}) < 0.5 then length(content) else length(substr(content, 1, 400)) end as kept from articles""")
+def clean_guard(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "articles")
+    return a.select("article_id", "cleaned_at", F.length(T.clean_guard(F.col("content"), F.substring("content", 1, 400))).alias("kept"))
+
+
+PAGE = "concat('<html><head><title>t</title><style>p{}</style></head><body><nav><a href=\"/conditions/', article_id, '-of-the-day/\">x</a></nav><article><h1>', coalesce(title, ''), '</h1><p>', replace(replace(coalesce(content, ''), '&', '&amp;'), '<', '&lt;'), '</p><script>x()</script></article></body></html>')"
+
+
+@query(f"""with l as (select article_id, cleaned_at, title, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') as l from articles)
+    select article_id, cleaned_at, coalesce(nullif({_squeeze("coalesce(title, '')")}, ''), 'Unknown') as title, array_to_string(list_concat(case when {_strip("coalesce(title, '')")} = '' then [] else [{_strip('title')}] end, l), chr(10)) as content from l""")
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "articles").select(F.struct("article_id", "cleaned_at").alias("k"), F.expr(PAGE).alias("html"))
+    return ingest.html_extract(pages, "k", "html", "nhs").select("k.*", "title", "content")
+
+
+@query("""select distinct 'https://leaf.example/conditions/' || article_id || '-of-the-day/' as url from articles""")
+def link_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.link_discovery(_t(spark, d, "articles").select(F.expr(PAGE).alias("html")), "html", base="https://leaf.example")
+
+
+@query(r"""select distinct url, regexp_extract(regexp_replace(url, '[?#](?s:.*)$', ''), '([^/]+)/*$', 1) as slug from articles where url is not null""")
+def url_slug(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "articles").where("url is not null").select("url", T.url_slug(F.col("url")).alias("slug")).distinct()
+
+
+@query()
+def section_split(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sections(_t(spark, d, "articles").select("article_id", "cleaned_at", "content"))
+
+
+@query(f"select doc_id, len({_words('text')})::int as n_words from documents")
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_words"))
+
+
+@query()
+def token_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.token_chunks(_t(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("body")))
+
+
+@query()
+def chunk_render(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.chunk_articles(_t(spark, d, "articles"))
+
+
+@query("select doc_id, 'chunk_' || (row_number() over (order by doc_id) - 1) as chunk_id from documents where text is not null")
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.numbered(_t(spark, d, "documents").where("text is not null").select("doc_id"), ["doc_id"])
+    return rows.select("doc_id", F.concat(F.lit("chunk_"), "chunk_no").alias("chunk_id"))
+
+
+@query("""select 'articles' as kind, article_id::varchar as id, source from articles union all select 'evidence', evidence_id, source from evidence_records""")
+def chunk_union(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "articles").select(F.lit("articles").alias("kind"), F.col("article_id").cast("string").alias("id"), "source")
+    return a.unionByName(_t(spark, d, "evidence_records").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), "source"), allowMissingColumns=True)
+
+
+@query("""select case when doc_type = 'guideline' then 'medical' else 'other' end as part, count(*) as n from documents group by 1""")
+def chunk_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    a, b = ingest.chunk_split(docs.withColumn("kind", F.when(F.col("doc_type") == "guideline", "medical_kb").otherwise(F.col("doc_type"))), F.col("kind"))
+    return a.select(F.lit("medical").alias("part")).union(b.select(F.lit("other").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
+
+
+POINT_SQL = f"""substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1)::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+
+
+@query(f"""select doc_id, {POINT_SQL} as point_id from (select doc_id, sha1(unhex('{T.POINT_NAMESPACE}') || encode(text)) as h from documents where text is not null)""")
+def point_id(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", T.point_id(F.col("text")).alias("point_id"))
+
+
+@query("""with f as (select text, source, min(doc_id) as o from documents where text is not null group by text, source)
+    select md5(text) as text_hash, array_to_string(list(source order by o) filter (where source is not null), '|') as sources, (select count(*) from documents x where x.text = f.text) as n from f group by text""")
+def dedup_sources(spark: SparkSession, d: str) -> DataFrame:
+    points = ingest.dedup_sources(_t(spark, d, "documents"), order=["doc_id"])
+    return points.select(F.md5("text").alias("text_hash"), F.nullif(F.array_join("sources", "|"), F.lit("")).alias("sources"), "n")
+
+
+@query("""with a as (select text, count(*) as n from documents where text is not null and doc_type = 'leaflet' group by text), b as (select text, count(*) as n from documents where text is not null and doc_type <> 'leaflet' group by text)
+    select md5(coalesce(a.text, b.text)) as text_hash, coalesce(a.n, 0) + coalesce(b.n, 0) as n, case when a.text is null then 'new' when b.text is null then 'kept' else 'updated' end as state from a full join b on a.text = b.text""")
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    stored, incoming = (ingest.dedup_sources(docs.where(f"doc_type {op} 'leaflet'"), order=["doc_id"]) for op in ("=", "<>"))
+    return ingest.index_upsert(stored, incoming).select(F.md5("text").alias("text_hash"), "n", "state")
+
+
+@query("select doc_id from documents where doc_id not in (select vec_id from embeddings)")
+def incremental_pending(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.incremental_pending(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+@query("""select 'articles' as collection, count(*) as n, count(distinct article_id) as n_ids from articles union all select 'documents', count(*), count(distinct doc_id) from documents union all select 'evidence', count(*), count(distinct evidence_id) from evidence_records""")
+def collection_stats(spark: SparkSession, d: str) -> DataFrame:
+    parts = [_t(spark, d, t).groupBy().agg(F.count("*").alias("n"), F.countDistinct(k).alias("n_ids")).select(F.lit(n).alias("collection"), "n", "n_ids") for n, t, k in (("articles", "articles", "article_id"), ("documents", "documents", "doc_id"), ("evidence", "evidence_records", "evidence_id"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# Guards and routing -------------------------------------------------------------------------------------------------
+
+
+@query()
+def pii_mask(spark: SparkSession, d: str) -> DataFrame:
+    masked, kinds = T.mask_pii(F.coalesce("text", F.lit("")))
+    return _t(spark, d, "documents").select("doc_id", masked.alias("masked"), F.array_join(kinds, ",").alias("kinds"))
+
+
+@query()
+def sanitize(spark: SparkSession, d: str) -> DataFrame:
+    r = guards.sanitized(_t(spark, d, "chat_requests").distinct())
+    return r.select("request_id", "received_at", "original_length", "sanitized_text", F.array_join("findings", ",").alias("findings"), "allowed")
+
+
+@query(r"""select doc_id, regexp_matches(text, '(?is)\b(ignore|disregard|override)\b.{0,80}\b(previous| acima|system|developer|instructions?)\b') or regexp_matches(text, '(?i)\b(system|developer)\s*(prompt|message)\b') or regexp_matches(text, '(?i)\b(jailbreak| DAN mode|do anything now)\b') or regexp_matches(text, '(?is)\b(reveal|print|show|leak)\b.{0,50}\b(prompt|instructions?|secret|api key)\b') or regexp_matches(text, '(?i)<\s*(system|instruction|prompt)\b') as injected from documents where text is not null""")
+def injection_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", T.injected(F.col("text")).alias("injected"))
+
+
+@query(r"""select doc_id, concat_ws(',', case when regexp_matches(text, '(?i)<\s*/?\s*script\b|javascript\s*:') then 'malicious:script' end, case when regexp_matches(text, '(?i)\bon\w+\s*=') then 'malicious:event_handler' end, case when regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') then 'malicious:control_character' end) as findings from documents where text is not null""")
+def malicious_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(T.malicious(F.col("text")), ",").alias("findings"))
+
+
+@query(r"""select doc_id, case when length(regexp_replace(text, '[^\x{0600}-\x{06ff}]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) then 'ar' else 'en' end as detected from documents where text is not null""")
+def detect_language(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
+
+
+@query("""select doc_id, md5(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) as folded from documents where text is not null""")
+def digit_fold(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.fold_digits(F.col("text"))).alias("folded"))
+
+
+@query(f"""with q as (select distinct request_id, lower({_squeeze("coalesce(text, '')")}) as q from chat_requests) select request_id, case when {_any('q', guards.EMERGENCY)} then 'emergency' when {_any('q', guards.CLINIC)} then 'clinic_query' else 'medical_query' end as query_class, count(*) as n from q group by all""")
+def classify(spark: SparkSession, d: str) -> DataFrame:
+    q = guards.classified(_t(spark, d, "chat_requests").select("request_id", F.lower(T.squeeze(F.coalesce("text", F.lit("")))).alias("text")).distinct())
+    return q.groupBy("request_id", "query_class").agg(F.count("*").alias("n"))
+
+
+@query(f"""with q as (select distinct request_id, lower({_strip("coalesce(text, '')")}) as q from chat_requests) select request_id, {_any('q', guards.SYMPTOM)} and ({_any('q', guards.PERSONAL)} or not {_any('q', guards.GENERAL)}) as is_personal, count(*) as n from q group by all""")
+def clarify(spark: SparkSession, d: str) -> DataFrame:
+    q = guards.clarified(_t(spark, d, "chat_requests").select("request_id", F.lower(T.strip(F.coalesce("text", F.lit("")))).alias("text")).distinct())
+    return q.groupBy("request_id", "is_personal").agg(F.count("*").alias("n"))
+
+
+@query()
+def route(spark: SparkSession, d: str) -> DataFrame:
+    return guards.routed(_t(spark, d, "chat_requests").distinct()).groupBy("lang", "route").agg(F.count("*").alias("n"))
+
+
+# Retrieval ----------------------------------------------------------------------------------------------------------
+
+EVERY = 50
+SCORES = f"""q as (select vec_id as query_id, embedding::double[] as v, coalesce(d.title, '') as query_text from embeddings e join documents d on d.doc_id = e.vec_id where vec_id % {EVERY} = 0),
+    p as (select vec_id as id, embedding::double[] as v, d.text from embeddings e join documents d on d.doc_id = e.vec_id),
+    dense as (select * from (select query_id, id, round(list_inner_product(q.v, p.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(p.v, p.v)), 6) as score, row_number() over (partition by query_id order by score desc, id)::int as dense_rank from q, p where query_text_ok) where dense_rank <= 15),
+    m as (select query_id, id, len(list_filter(list_distinct({_words('lower(query_text)')}), lambda w: contains(lower(p.text), w))) as matches from q, p where p.text is not null),
+    lexical as (select * from (select *, row_number() over (partition by query_id order by matches desc, id)::int as lexical_rank from m where matches > 0) where lexical_rank <= 15),
+    fused as (select query_id, id, dense_rank, lexical_rank, round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 9) as rrf_score from dense full join lexical using (query_id, id)),
+    ranked as (select *, row_number() over (partition by query_id order by rrf_score desc, dense_rank nulls last, lexical_rank)::int as fused_rank from fused)"""
+ALL = SCORES.replace("where query_text_ok", "")
+ASKED = SCORES.replace("where query_text_ok", f"where {_strip('query_text')} <> ''")
+
+
+def _kb(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, points) of the vectors and documents of one id; queries are those of ids that 50 divides."""
+    both = _t(spark, d, "embeddings").join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"))
+    points = both.select(F.col("vec_id").alias("id"), "text", F.col("embedding").alias("vector"))
+    return both.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"), F.col("embedding").alias("vector")), points
+
+
+@query(f"with {ALL} select query_id, id, score, dense_rank from dense")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.dense_topk(*_kb(spark, d))
+
+
+@query(f"with {ALL} select query_id, id, matches, lexical_rank from lexical")
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.lexical_topk(*_kb(spark, d))
+
+
+@query(f"with {ALL} select query_id, id, dense_rank, lexical_rank, rrf_score, fused_rank from ranked where fused_rank <= 10")
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    q, p = _kb(spark, d)
+    return retrieval.rrf_fuse(retrieval.dense_topk(q, p), retrieval.lexical_topk(q, p), top_n=10)
+
+
+GATED = f"""with {ASKED}, g as (select r.query_id, r.id, r.rrf_score, r.fused_rank, len(list_intersect({_terms('q.query_text')}, {_terms('p.text')}))::int as lexical_overlap
+    from ranked r join q using (query_id) join p on p.id = r.id where fused_rank <= 5)"""
+
+
+@query(f"{GATED} select query_id, id, rrf_score, fused_rank, lexical_overlap, case when rrf_score >= 0.03 and lexical_overlap > 0 then 'relevant' else 'unrelated' end as relevance_status from g")
+def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid_retrieve(*_kb(spark, d)).select("query_id", "id", "rrf_score", "fused_rank", "lexical_overlap", "relevance_status")
+
+
+@query(f"{GATED} select query_id, count(*) as candidate_count, count(*) filter (where rrf_score >= 0.03 and lexical_overlap > 0) as relevant_count, bool_or(rrf_score >= 0.03 and lexical_overlap > 0) as passed from g group by query_id")
+def gate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.gate_summary(retrieval.hybrid_retrieve(*_kb(spark, d))).select("query_id", "candidate_count", "relevant_count", "passed")
+
+
+@query(f"{GATED} select query_id, id, rrf_score as rerank_score, 'rrf' as rerank_score_type, row_number() over (partition by query_id order by rrf_score desc, fused_rank)::int as rerank_rank from g qualify rerank_rank <= 3")
+def rerank(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.rerank(retrieval.hybrid_retrieve(*_kb(spark, d)), top_k=3).select("query_id", "id", "rerank_score", "rerank_score_type", "rerank_rank")
+
+
+@query(f"""select evidence_id, len(list_intersect({_terms('document_title')}, {_terms('text')}))::int as overlap, count(*) as n from evidence_records where document_title is not null and text is not null group by all""")
+def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "evidence_records").where("document_title is not null and text is not null")
+    return e.select("evidence_id", T.lexical_overlap(F.col("document_title"), F.col("text")).alias("overlap")).groupBy("evidence_id", "overlap").agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select evidence_id, coalesce(rerank_score, retrieval_score) as score, rerank_score is null as fused from evidence_records)
+    select evidence_id, case when score >= 0.2 then 'relevant' else 'unrelated' end as relevance_status, count(*) as n from s group by all""")
+def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "evidence_records").select("evidence_id", F.col("document_title").alias("query_text"), "text", "rerank_score", F.col("retrieval_score").alias("relevance_score"))
+    return retrieval.relevance_gate(e).groupBy("evidence_id", "relevance_status").agg(F.count("*").alias("n"))
+
+
+# Evidence and answers -----------------------------------------------------------------------------------------------
+
+
+@query(f"""select distinct evidence_id, case when {_strip('chunk_id')} <> '' then chunk_id else 'evidence_' || substr(sha256(coalesce(source, '') || '|' || coalesce(document_title, '') || '|' || coalesce(section, '') || '|' || coalesce(text, '')), 1, 20) end as stable_id from evidence_records""")
+def evidence_id(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "evidence_records").select("evidence_id", T.evidence_id(*[F.col(c) for c in ("chunk_id", "source", "document_title", "section", "text")]).alias("stable_id")).distinct()
+
+
+@query("select distinct evidence_id as id, document_title as doc_title, source, section, url from evidence_records where relevance_status = 'relevant'")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.citations(_t(spark, d, "evidence_records"))
+
+
+@query(f"""with b as (select distinct request_id, evidence_id, '[EVIDENCE_ID: ' || evidence_id || '] Source: ' || coalesce(source, 'Medical Reference') || ' | Document: ' || coalesce(document_title, 'Medical Doc') || case when coalesce(section, '') <> '' then ' | Section: ' || section else '' end || chr(10) || {_strip("coalesce(text, '')")} as b from evidence_records where request_id is not null)
+    select request_id, md5(string_agg(b, chr(10) || chr(10) order by evidence_id, b)) as context_hash from b group by request_id""")
+def format_context(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "evidence_records").select("request_id", "evidence_id", "source", "document_title", "section", "text").distinct()
+    return evidence.format_context(e).select("request_id", F.md5("context").alias("context_hash"))
+
+
+CLAIMS = """concat('note {"claims": [{"text": "', replace(replace(replace(coalesce(user_ref, ''), '\\\\', ''), '"', ''), chr(10), ' '), '", "evidence_ids": ["', request_id, '", "x"]}, 7, {"claim_id": "c", "text": " ", "evidence_ids": "', request_id, '"}]} end')"""
+
+
+@query("""with r as (select distinct request_id, coalesce(user_ref, '') as t from chat_requests where request_id is not null) select request_id, (case when trim(t) <> '' then 1 else 0 end)::int as n_valid, 2 as n_claims, case when trim(t) <> '' then 'claim_001' end as first_id from r""")
+def validate_claims(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "chat_requests").where("request_id is not null").select("request_id", F.expr(CLAIMS).alias("payload")).distinct()
+    allowed = F.array("request_id")
+    claims = rows.select("request_id", evidence.claims_of(F.col("payload")).alias("claims"))
+    valid = claims.select("request_id", "claims", evidence.valid_claims(F.col("claims"), allowed).alias("v"))
+    return valid.select("request_id", F.size("v").alias("n_valid"), F.size("claims").alias("n_claims"), F.get("v", F.lit(0))["claim_id"].alias("first_id"))
+
+
+@query(f"""with s as (select doc_id, case when doc_id % 3 = 0 then 'answered' else 'clinic' end as status, text as answer, case when lang = 'ar' then 'ar' else 'en' end as language, doc_id % 2 as n_evidence from documents)
+    select doc_id, case when status = 'answered' and (n_evidence <= 0 or {_strip("coalesce(answer, '')")} = '') then 'insufficient_evidence' else status end as status,
+        md5(case when status = 'answered' and n_evidence <= 0 then '{evidence.INSUFFICIENT.replace("'", "''")}' when status = 'answered' then
+            case when contains(t, n) then t else t || chr(10) || chr(10) || n end else answer end) as answer_hash
+    from (select *, case when {_strip("coalesce(answer, '')")} = '' then '{evidence.INSUFFICIENT.replace("'", "''")}' else {_strip('answer')} end as t, case when language = 'ar' then '{evidence.DISCLAIMER['ar']}' else '{evidence.DISCLAIMER['en']}' end as n from s)""")
+def output_guard(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "answered").otherwise("clinic").alias("status"), F.col("text").alias("answer"), F.when(F.col("lang") == "ar", "ar").otherwise("en").alias("language"), (F.col("doc_id") % 2).alias("n_evidence"))
+    return evidence.guarded(s).select("doc_id", "status", F.md5("answer").alias("answer_hash"))
+
+
+@query(f"""select doc_id, md5(case when {_strip("coalesce(text, '')")} = '' then '{evidence.APOLOGY}' else {_strip('text')} end) as shown from documents""")
+def render(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.md5(evidence.rendered(F.col("text"))).alias("shown"))
+
+
+@query("""select doc_id, i::int as piece_no, md5(substr(coalesce(text, ''), (i * 4096 + 1)::int, 4096)) as piece_hash from (select doc_id, text, unnest(range(0, greatest(1, ((length(coalesce(text, '')) + 4095) // 4096)))) as i from documents)""")
+def reply_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.reply_pieces(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "piece_no", F.md5("piece").alias("piece_hash"))
+
+
+# Sessions -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"select distinct user_ref, substr(sha256({_strip('user_ref')}), 1, 32) as context_key from chat_requests where user_ref is not null")
+def context_key(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "chat_requests").where("user_ref is not null").select("user_ref", T.context_key(F.col("user_ref")).alias("context_key")).distinct()
+
+
+@query("""with g as (select user_id, event_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 30 minutes then 1 else 0 end as f from events)
+    select event_id, (sum(f) over (partition by user_id order by ts range between unbounded preceding and current row))::int as session_no from g""")
+def sessionize(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sessionized(_t(spark, d, "events"), "user_id", "ts").select("event_id", "session_no")
+
+
+@query("""select request_id, min(received_at) as received_at, count(*) as n from (select distinct * from chat_requests) where request_id is not null group by request_id""")
+def update_dedup(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "chat_requests").where("request_id is not null").distinct()
+    first = sessions.first_of_each(r.select("request_id", "received_at"), ["request_id"], [F.col("received_at")])
+    return first.join(r.groupBy("request_id").agg(F.count("*").alias("n")), "request_id")
+
+
+@query("""select record_id, session_version, status from (select *, row_number() over (partition by record_id order by saved_at desc) as nth from patient_contexts) where nth = 1""")
+def latest_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.latest_of_each(_t(spark, d, "patient_contexts").select("record_id", "saved_at", "session_version", "status"), ["record_id"], ["saved_at"]).select("record_id", "session_version", "status")
+
+
+@query()
+def session_stale(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "patient_contexts")
+    return c.select("record_id", "saved_at", sessions.stale(F.col("updated_at"), F.col("saved_at")).alias("stale"))
+
+
+@query("""with n as (select record_id, session_id, session_version from (select *, row_number() over (partition by record_id order by saved_at desc) as nth from patient_contexts) where nth = 1)
+    select p.record_id, p.saved_at from patient_contexts p join n on p.record_id = n.record_id and p.session_id = n.session_id and p.session_version = n.session_version""")
+def stale_response(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "patient_contexts").select("record_id", "saved_at", "session_id", "session_version")
+    return sessions.discard_stale(c, sessions.latest_of_each(c, ["record_id"], ["saved_at"]).drop("saved_at"), ["record_id"]).select("record_id", "saved_at")
+
+
+@query(f"""select record_id, saved_at, round((case when len(symptoms) > 0 then 0.25 else 0 end + case when {_strip('onset_or_duration')} <> '' then 0.20 else 0 end + case when {_strip('severity')} <> '' then 0.20 else 0 end + case when len(associated_symptoms) > 0 then 0.20 else 0 end + case when {_strip('relevant_context')} <> '' then 0.15 else 0 end)::double, 2) as score from patient_contexts""")
+def inquiry_score(spark: SparkSession, d: str) -> DataFrame:
+    score, _ = sessions.scored(*[F.col(c) for c in ("symptoms", "onset_or_duration", "severity", "associated_symptoms", "relevant_context")])
+    return _t(spark, d, "patient_contexts").select("record_id", "saved_at", score.alias("score"))
+
+
+@query()
+def inquiry_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "chat_requests").where("text is not null").select("request_id", "received_at", *[c.alias(n) for n, c in sessions.extracted(F.col("text")).items()]).distinct()
+
+
+@query()
+def inquiry_fold(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.inquiry_fold(_t(spark, d, "chat_requests").distinct(), "user_ref", "requested_at", "text")
+
+
+@query("""select status, active_flow, count(*) as n from patient_contexts where language = 'en' and status = 'collecting' group by all""")
+def state_list(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "patient_contexts").where("language = 'en' and status = 'collecting'").groupBy("status", "active_flow").agg(F.count("*").alias("n"))
+
+
+# Whole plans --------------------------------------------------------------------------------------------------------
+
+
+@query()
+def build_index(spark: SparkSession, d: str) -> DataFrame:
+    return answering.build_index(_t(spark, d, "articles")).select("id", "text", F.array_join("sources", "|").alias("sources"), "n", F.size("vector").alias("dimension"))
+
+
+@query()
+def answer(spark: SparkSession, d: str) -> DataFrame:
+    asked = sessions.first_of_each(_t(spark, d, "chat_requests").where("request_id is not null").select("request_id", "text"), ["request_id"], [F.col("text")])
+    ids = F.xxhash64("request_id") % EVERY == 0
+    return answering.answer(asked.where(ids), answering.build_index(_t(spark, d, "articles").where("source_dir is not null")))
