@@ -205,7 +205,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, groups: in
     sizes has a row for each item; key is unique. Returns `key`, piece_no (int), offset, size and container (all
     bigint). An item beyond the capacity, and no other, is cut: full pieces, then the rest. Items of size 0 or null
     take no room; they are spread over the containers by their key's hash (container 0 if there is none else).
-    Null keys are kept; of repeated keys each row is placed by itself only if it differs in size.
+    Null and repeated keys are kept: each row is placed by itself. An empty table gives no rows.
     """
     spark = sizes.sparkSession
     base = sizes.select(sizes[key].alias("k"), F.coalesce(sizes[size].cast("long"), F.lit(0)).alias("n"))

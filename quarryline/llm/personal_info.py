@@ -70,8 +70,8 @@ _tok = r"[^\W\d_]+(?:['\-][^\W\d_]+)*"
 _token = re.compile(rf"{_tok}")
 _particles = set("van von bin bint ibn abu al el de del der den la da dos di ter ben ten zu le بن بنت أبو ابو آل عبد".split())
 _before = re.compile(
-    r"(?:\bmy name is|\bi'm|\bi am|\bthis is|\bcalled|\bpatient name:|\bpatient:|\bname:|\bsigned,|\bask for|\basked for|\b(?:dr|mr|mrs|ms|miss|prof|sister|nurse|doctor)\.?(?=\s)|\bmy (?:daughter|son|wife|husband|mother|father|sister|brother|carer|partner|neighbour|friend)(?: is)?|\b(?:husband|wife|daughter|son|mother|father|brother|sister)\s\(|\bregards,|\byours,|\bcare of|\bc/o"
-    r"|\bme llamo|\bmi nombre es|\bsoy|\bpaciente:|\bnombre:|\bfirmado:?,?|\bpregunten por|\b(?:el|la) doctora?\b|\b(?:dr|dra|sr|sra|srta)\.(?=\s)|\bmi (?:hija|hijo|esposa|esposo|marido|mujer|madre|padre|hermana|hermano|vecina|vecino|cuidadora|cuidador)(?: se llama)?|\bla señora|\bel señor|\b(?:marido|esposa|esposo|mujer|hija|hijo)\s\("
+    r"(?:\bmy name is|\bi'm|\bi am|\bthis is|\bcalled|\bpatient name:|\bpatient:|\bname:|\bsigned,|\bask for|\basked for|\b(?:dr|mr|mrs|ms|miss|prof|sister|nurse|doctor)\.?(?=\s)|\bmy (?:daughter|son|wife|husband|mother|father|sister|brother|carer|partner|neighbour|friend)(?: is called| is named| is|,)?(?=\s)|\b(?:husband|wife|daughter|son|mother|father|brother|sister)\s\(|\bregards,|\byours,|\bcare of|\bc/o"
+    r"|\bme llamo|\bmi nombre es|\bsoy|\bpaciente:|\bnombre:|\bfirmado:?,?|\bpregunten por|\b(?:el|la) doctora?\b|\b(?:dr|dra|sr|sra|srta)\.(?=\s)|\bmi (?:hija|hijo|esposa|esposo|marido|mujer|madre|padre|hermana|hermano|vecina|vecino|cuidadora|cuidador)(?: se llama|,)?(?=\s)|\bla señora|\bel señor|\b(?:marido|esposa|esposo|mujer|hija|hijo)\s\("
     r"|اسمي|أنا|الدكتورة|الدكتور|السيدة|السيد|ابنتي|ابني|زوجتي|زوجي|والدتي|والدي|أخي|أختي|جارتي|جاري|المريضة:|المريض:|الاسم:|اسأل عن|اسألوا عن|التوقيع:?|مقدم الرعاية)\s*",
     re.I,
 )
@@ -81,7 +81,7 @@ _right = re.compile(r"\s*(?:[.)\n]|$|  |,? ?(?:born|said|says|noticed|brings|tak
 _not_before = re.compile(r"(?:\bat|\bin|\bto|\bfrom|\bon|\ben|\bby|\bof|\bthe|\btakes|\btomo|\bother|\bapart from|قسم|مستشفى|دواء)\s*$", re.I)
 #: Words that begin or end sentences about other things and are never part of a name.
 _ordinary = set(
-    "my our the a an and or is was were he she it i i'm we you they this that who with for from at on in to of by not no since until after before when please thanks call tel mobile text ring whatsapp reach mail email results passport ssn id health insurance social national dr mr mrs ms signed patient ask husband wife home moved delivery send staying lives live age takes seen told smokes "
+    "my our the a an and or is was were he she it i i'm we you they this that who with for from at on in to of by not no since until after before when please thanks call tel mobile text ring whatsapp reach mail email results passport ssn id health insurance social national dr mr mrs ms signed patient ask husband wife home moved delivery send staying lives live age called named takes seen told smokes "
     "mi me soy el la los las y con por para desde llame móvil escriban vivo tomo edad alergia ingreso tensión correo resultados paciente pasaporte dirección tel embarazo teléfono su يوم منذ في من على إلى مع هاتف جوالي بريدي رقم العنوان أسكن اتصلوا راسلوني أرسلوا جواز الرقم العمر حامل دخلت لا الضغط مرض أتناول عندي وأكتب فحصني فحصتني ترافقني يرافقني عن".split()
 )
 
