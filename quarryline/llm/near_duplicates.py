@@ -15,9 +15,9 @@ of radius plus threshold around a point would hold a constant share of all
 anchors at this threshold, which is why symbols and lines are used.
 
 Texts that meet at an anchor are compared by their whole fingerprints, and who
-remains by the exact sets of shingles. Anchors where very many different texts
-meet are split by a second line's places; no pair within an anchor is lost that
-agrees on one more line, and no anchor's pairs are all emitted by one task.
+remains by the exact sets of shingles. The texts of an anchor where very many
+meet form blocks; pairs of blocks are compared by tasks of their own, and only
+pairs whose fingerprints are close leave them.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from .common import map_batches, materialize
 
 _word = re.compile(r"[^\W_]+")
 SYMBOLS = 64
-#: Texts at one anchor beyond which it is split by further lines.
+#: Texts at one anchor beyond which they are compared in pairs of blocks.
 CROWDED = 64
+#: Texts of a block.
+BLOCK = 2_000
 #: Copies of one text up to which all pairs of records are listed; beyond, each copy is paired with its class's first record.
 COPIES = 32
 
@@ -169,7 +171,7 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _anchors(prints: DataFrame, classes: int, more: DataFrame | None = None) -> DataFrame:
+def _anchors(prints: DataFrame, classes: int) -> DataFrame:
     """(anchor, digest): replicates each fingerprint to its anchors."""
 
     def make():
@@ -267,8 +269,8 @@ def _met(anchored: DataFrame, crowded: int) -> DataFrame:
 
 
 def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose fingerprints agree in no fewer symbols than one in 30,000 pairs of the similarity would."""
-    floor = int(SYMBOLS * similarity - 4.0 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5)
+    """Pairs whose fingerprints agree in as many symbols as those of the similarity do."""
+    floor = _floor(similarity)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -283,7 +285,7 @@ def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("a", "b", "pa", "pb"), "a bigint, b bigint", make)
 
 
-def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: records whose sets of runs of `width` words share at least `similarity` of their union.
 
     Both texts have at least `least_words` words. Rows with a null key or text are left out; rows that repeat a key must
@@ -302,16 +304,10 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     prints = prints.unionByName(marked.join(repeats.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("print").alias("print")))
     met = materialize(_met(_anchors(prints, classes), crowded), "met")
     pairs = met.where("pair").select("a", "b")
-    rounds = 0
-    busy = met.where("not pair").select(F.col("anchor"), F.col("a").alias("digest")).distinct()
-    while rounds < 3 and not busy.isEmpty():
-        # The crowded anchors' texts go on to anchors that hold another line's symbols as well.
-        rounds += 1
-        inner = busy.withColumnRenamed("anchor", "outer").join(prints, "digest")
-        narrower = _inner_anchors(inner, classes)
-        met = materialize(_met(narrower, crowded if rounds < 3 else 1 << 40), "met")
-        pairs = pairs.unionByName(met.where("pair").select("a", "b"))
-        busy = met.where("not pair").select(F.col("anchor"), F.col("a").alias("digest")).distinct()
+    busy = met.where("not pair").select("anchor", F.col("a").alias("digest")).distinct()
+    if not busy.isEmpty():
+        crowds = materialize(_crowds(busy, prints, classes, similarity, block), "crowds")
+        pairs = pairs.unionByName(crowds)
     near = materialize(_close(pairs.distinct(), prints, similarity), "near")
 
     texts = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].cast("string").alias("id"), df[text].alias("t"))
@@ -333,22 +329,70 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     return result.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _inner_anchors(inner: DataFrame, classes: int) -> DataFrame:
-    """The same within crowded anchors: an inner anchor has the outer one's symbols and those of a line of other classes."""
+def _floor(similarity: float) -> int:
+    """Symbols in which all but one in 30,000 pairs of the similarity agree."""
+    return int(SYMBOLS * similarity - 4.0 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5)
 
-    def make():
-        lines = design(2 * classes)[len(design(classes)) :]
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = _prints(batch.column(2)).astype(np.uint64)[:, lines]
-            word = p[:, :, 0] | p[:, :, 1] << np.uint64(16) | p[:, :, 2] << np.uint64(32) | p[:, :, 3] << np.uint64(48)
-            outer = batch.column(0).to_numpy().view(np.uint64)[:, None]
-            anchor = _mix(word + _mix(outer + np.arange(len(lines), dtype=np.uint64)[None, :])).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(anchor.ravel()), pa.array(np.repeat(batch.column(1).to_numpy(), len(lines)))], names=["anchor", "digest"])
+def _crowds(busy: DataFrame, prints: DataFrame, classes: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): pairs within crowded anchors whose fingerprints are close.
 
-        return step
+    An anchor's texts form blocks by hash, and each pair of blocks is compared by itself, so that no task holds more than
+    two blocks however crowded the anchor is. A pair is given only by the first line on which its texts agree.
+    """
+    sizes = busy.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = busy.join(sizes, "anchor").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "digest").join(prints, "digest")
+    ordered = spread.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "digest").select("anchor", "i", "j", "own", "digest", "print")
 
-    return map_batches(inner.select("outer", "digest", "print"), "anchor bigint, digest bigint", make)
+    def run(batches):
+        lines = design(classes)
+        salt = _mix(np.arange(len(lines), dtype=np.uint64) + np.uint64(77))
+        floor = _floor(similarity)
+        key, held = None, []
+
+        def compare():
+            anchor, i, j = key
+            own = np.concatenate([h[0] for h in held])
+            digest = np.concatenate([h[1] for h in held])
+            p = np.concatenate([h[2] for h in held])
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            a_, b_ = [], []
+            for r in left:
+                others = right[right > r] if i == j else right
+                near = others[(p[others] == p[r]).sum(axis=1) >= floor]
+                if not len(near):
+                    continue
+                agreed = (p[near][:, lines] == p[r][lines]).all(axis=2)
+                first = agreed.argmax(axis=1)
+                w = p[r].astype(np.uint64)[lines]
+                word = w[:, 0] | w[:, 1] << np.uint64(16) | w[:, 2] << np.uint64(32) | w[:, 3] << np.uint64(48)
+                near = near[_mix(word + salt).view(np.int64)[first] == anchor]
+                a_.append(np.full(len(near), digest[r]))
+                b_.append(digest[near])
+            if a_:
+                x, y = np.concatenate(a_), np.concatenate(b_)
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            return None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, i, j, own, digest = (batch.column(c).to_numpy() for c in range(5))
+            p = _prints(batch.column(5))
+            edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+            for x, y in zip(edge[:-1], edge[1:]):
+                now = (anchor[x], i[x], j[x])
+                if now != key:
+                    if key is not None and (out := compare()) is not None:
+                        yield out
+                    key, held = now, []
+                held.append((own[x:y], digest[x:y], p[x:y]))
+        if key is not None and (out := compare()) is not None:
+            yield out
+
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(sides: DataFrame, width: int, least_words: int, similarity: float) -> DataFrame:

@@ -173,10 +173,9 @@ def without_repeated_lines(df: DataFrame, key: str = "article_id", source: str =
     """
     gone = _marked(df, key, source, content, spread, least_words, depth).groupBy("k").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("k", "__k")
     joined = df.join(gone, df[key].cast("long") == F.col("__k"), "left")
-    # A row of the same document with another source, or none, keeps lines that aren't repeated there only if its
-    # source never counts.
+    # A row without a source never counts, so it stays whole even if another row of its document has one.
     gone_here = F.when(F.col(source).isNull() | F.col("__gone").isNull(), F.array().cast("array<int>")).otherwise(F.col("__gone"))
     lines = F.split(F.col(content), "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(gone_here, p["i"]))
     text = F.when(F.size(gone_here) == 0, F.col(content)).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
-    return joined.withColumns({content: text, "n_removed": F.size(gone_here).cast("int")}).select(*df.columns, "n_removed")
+    return joined.withColumns({content: text, "n_removed": F.size(gone_here).cast("int")}).select(*[c for c in df.columns if c != "n_removed"], "n_removed")

@@ -89,7 +89,7 @@ def test_packing(spark, case):
     sizes = {i: int(x) for i, x in enumerate(n)} | ({-1: None} if case == "mixed" else {})
     df = spark.createDataFrame([(k, v, "x") for k, v in sizes.items()], "k long, n long, size string").repartition(3)
     fill = check(packing.pack(df, "k", "n").collect(), sizes, 2048)
-    assert fill > {"large": 0.6, "huge": 0.9}.get(case, 0.97)
+    assert fill > {"large": 0.6, "huge": 0.9, "small": 0.95}.get(case, 0.97)  # 3,000 small items need 29 containers, one of them half empty
 
 
 def test_configurations_cover():
