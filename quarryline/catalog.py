@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import evidence, guards, ingest, retrieval, sessions
 from .plans import answering
+from .providers import embed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +91,15 @@ def url_slug(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "articles").where("url is not null").select("url", T.url_slug(F.col("url")).alias("slug")).distinct()
 
 
-@query()
+SECTIONS = f"""with l as (select rid, article_id, cleaned_at, unnest(l) as line, generate_subscripts(l, 1) as i from (select row_number() over () as rid, article_id, cleaned_at, string_split(content, chr(10)) as l from articles where content is not null)),
+    b as (select *, case when i > 2 and lag(line) over (partition by rid order by i) = '' and regexp_matches(line, '^[A-Z][a-zA-Z{W},()\\-]+$') then 1 else 0 end as f from l),
+    g as (select *, sum(f) over (partition by rid order by i) as section_no from b),
+    p as (select rid, article_id, cleaned_at, section_no, {_strip('string_agg(line, chr(10) order by i)')} as part from g group by all),
+    h as (select *, {_strip("split_part(part, chr(10), 1)")} as first from p where part <> ''),
+    s as (select article_id, cleaned_at, section_no::int as section_no, length(first) < 40 and not ends_with(first, '.') and not starts_with(first, '-') as heading, first, part from h)"""
+
+
+@query(f"""{SECTIONS} select article_id, cleaned_at, section_no, case when heading then first else 'General' end as section, case when heading then {_strip("substr(part, length(split_part(part, chr(10), 1)) + 2)")} else part end as body from s""")
 def section_split(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sections(_t(spark, d, "articles").select("article_id", "cleaned_at", "content"))
 
@@ -163,6 +172,28 @@ def collection_stats(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query(f"""select article_id, cleaned_at, {_strip("regexp_replace(c, '\\n{3,}', chr(10) || chr(10), 'g')")} as content from (select article_id, cleaned_at, {"regexp_replace(" * len(T.SOURCE_RULES["mayo"])}{"regexp_replace(" * 5}content{"".join(f", '{p.replace('%s', W).replace('(?d)', '').replace('(?md)', '(?m)')}', '', 'g')" for p, _ in T.GENERAL_RULES + T.SOURCE_RULES["mayo"])} as c from articles)""")
+def clean_text_mayo(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "articles").select("article_id", "cleaned_at", T.clean_text(F.col("content"), F.lit("mayo")).alias("content"))
+
+
+@query()
+def html_extract_ads(spark: SparkSession, d: str) -> DataFrame:
+    html = F.expr("concat('<main><div class=\"ad\">', coalesce(url, ''), '</div><header>x</header>', replace(coalesce(content, ''), '<', '&lt;'), '</main>')")
+    return ingest.html_extract(_t(spark, d, "articles").select(F.struct("article_id", "cleaned_at").alias("k"), html.alias("html")), "k", "html", "mayo").select("k.*", "title", "content")
+
+
+@query()
+def embed_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", embed(F.col("text")).alias("vector"))
+
+
+@query("""select doc_id, case when trim(coalesce(source, '')) = '' then 'gemini/gemini-2.5-flash' when contains(source, '/') then source else 'gemini/' || source end as model from documents""")
+def normalize_model(spark: SparkSession, d: str) -> DataFrame:
+    name = F.trim(F.coalesce("source", F.lit("")))
+    return _t(spark, d, "documents").select("doc_id", F.when(name == "", "gemini/gemini-2.5-flash").when(F.contains("source", F.lit("/")), F.col("source")).otherwise(F.concat(F.lit("gemini/"), "source")).alias("model"))
+
+
 # Guards and routing -------------------------------------------------------------------------------------------------
 
 
@@ -316,6 +347,23 @@ def validate_claims(spark: SparkSession, d: str) -> DataFrame:
     return valid.select("request_id", F.size("v").alias("n_valid"), F.size("claims").alias("n_claims"), F.get("v", F.lit(0))["claim_id"].alias("first_id"))
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "chat_requests").where("request_id is not null").select("request_id", F.expr(CLAIMS).alias("payload")).distinct()
+    return rows.select("request_id", evidence.claims_of(F.col("payload")).alias("claims"))
+
+
+@query("""with r as (select distinct request_id, replace(replace(replace(coalesce(user_ref, ''), chr(92), ''), '"', ''), chr(10), ' ') as t from chat_requests where request_id is not null)
+    select request_id, 'claim_001' as claim_id, t as text, request_id || '|x' as ids from r union all select request_id, 'c', ' ', request_id from r""")
+def claims_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _claims(spark, d).select("request_id", F.explode("claims").alias("c")).select("request_id", "c.claim_id", "c.text", F.array_join("c.evidence_ids", "|").alias("ids"))
+
+
+@query("""with r as (select distinct request_id, coalesce(user_ref, '') as t from chat_requests where request_id is not null) select request_id, 2 as input_claim_count, (case when trim(t) <> '' then 1 else 0 end)::int as valid_claim_count, case when trim(t) <> '' then 'c' else 'claim_001|c' end as invalid_claim_ids, false as passed from r""")
+def claim_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = _claims(spark, d).select("request_id", evidence.claim_summary(F.col("claims"), F.array("request_id")).alias("s")).select("request_id", "s.*")
+    return s.withColumn("invalid_claim_ids", F.array_join("invalid_claim_ids", "|"))
+
+
 @query(f"""with s as (select doc_id, case when doc_id % 3 = 0 then 'answered' else 'clinic' end as status, text as answer, case when lang = 'ar' then 'ar' else 'en' end as language, doc_id % 2 as n_evidence from documents)
     select doc_id, case when status = 'answered' and (n_evidence <= 0 or {_strip("coalesce(answer, '')")} = '') then 'insufficient_evidence' else status end as status,
         md5(case when status = 'answered' and n_evidence <= 0 then '{evidence.INSUFFICIENT.replace("'", "''")}' when status = 'answered' then
@@ -362,6 +410,30 @@ def latest_contexts(spark: SparkSession, d: str) -> DataFrame:
     return sessions.latest_of_each(_t(spark, d, "patient_contexts").select("record_id", "saved_at", "session_version", "status"), ["record_id"], ["saved_at"]).select("record_id", "session_version", "status")
 
 
+QUESTIONS = " ".join(f"when '{k}' then '{v}'" for k, v in sessions.QUESTIONS["en"].items())
+MISSING = f"list_filter([case when coalesce(len(symptoms), 0) = 0 then 'symptoms' end, case when {_strip("coalesce(onset_or_duration, '')")} = '' then 'onset_or_duration' end, case when {_strip("coalesce(severity, '')")} = '' then 'severity' end, case when coalesce(len(associated_symptoms), 0) = 0 then 'associated_symptoms' end, case when {_strip("coalesce(relevant_context, '')")} = '' then 'relevant_context' end], lambda x: x is not null)"
+
+
+@query(f"""select record_id, saved_at, case coalesce(m[1], 'relevant_context') {QUESTIONS} end as question from (select *, {MISSING} as m from patient_contexts)""")
+def next_question(spark: SparkSession, d: str) -> DataFrame:
+    _, missing = sessions.scored(*[F.col(c) for c in ("symptoms", "onset_or_duration", "severity", "associated_symptoms", "relevant_context")])
+    return _t(spark, d, "patient_contexts").select("record_id", "saved_at", sessions.question(missing, F.lit("en")).alias("question"))
+
+
+@query("""select record_id, saved_at, 'User question: ' || coalesce(array_to_string(symptoms, ', '), '') || case when len(x) > 0 then ' (' || array_to_string(x, ', ') || ')' else '' end || ' - ' || coalesce(next_question, '') as query
+    from (select *, list_filter(['duration: ' || nullif(onset_or_duration, ''), 'severity: ' || nullif(severity, ''), 'context: ' || nullif(relevant_context, '')], lambda y: y is not null) as x from patient_contexts)""")
+def augmented_query(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "patient_contexts")
+    return p.select("record_id", "saved_at", sessions.augmented(F.coalesce("next_question", F.lit("")), *[F.col(c) for c in ("symptoms", "onset_or_duration", "severity", "relevant_context")]).alias("query"))
+
+
+@query()
+def update_lease(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    event = F.when(F.crc32(F.col("event_type").cast("binary")) % 3 == 0, "claim").when(F.crc32(F.col("event_type").cast("binary")) % 3 == 1, "complete").otherwise("fail")
+    return sessions.lease_fold(e.select(F.col("user_id").alias("update_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), "event_id"), ["at", "event_id"])
+
+
 @query()
 def session_stale(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "patient_contexts")

@@ -93,6 +93,71 @@ def extracted(c: Column) -> dict[str, Column]:
     }
 
 
+#: What is asked for a missing field.
+QUESTIONS = {
+    "en": {
+        "symptoms": "What symptom or concern should I focus on?",
+        "onset_or_duration": "How long have you had this symptom, and is it getting better or worse?",
+        "severity": "How severe is it, for example mild, moderate, severe, or on a scale from 1 to 10?",
+        "associated_symptoms": "Do you have any other symptoms along with it?",
+        "relevant_context": "Is there any relevant context, such as your age group, pregnancy, medicines, or a medical history?",
+    },
+    "ar": {
+        "symptoms": "ما العرض أو المشكلة التي تريد مني التركيز عليها؟",
+        "onset_or_duration": "منذ متى بدأ العرض؟ وهل يتحسن أم يزداد سوءاً؟",
+        "severity": "ما شدة العرض: خفيف أم متوسط أم شديد، أو من 1 إلى 10؟",
+        "associated_symptoms": "هل توجد أعراض أخرى مصاحبة؟",
+        "relevant_context": "هل توجد معلومات مهمة مثل الفئة العمرية أو الحمل أو الأدوية أو تاريخ مرضي؟",
+    },
+}
+
+
+def question(missing: Column, language: Column) -> Column:
+    """What to ask next: for the first missing field, in Arabic or English."""
+    first = F.coalesce(F.get(missing, F.lit(0)), F.lit("relevant_context"))
+    table = lambda g: F.create_map(*[F.lit(x) for kv in QUESTIONS[g].items() for x in kv])
+    return F.when(language == "ar", F.element_at(table("ar"), first)).otherwise(F.element_at(table("en"), first))
+
+
+def augmented(asked: Column, symptoms: Column, duration: Column, severity: Column, relevant: Column) -> Column:
+    """The question with what is known of the case: symptoms, then what else is known, in brackets."""
+    known = [F.concat(F.lit(f"{n}: "), F.nullif(c, F.lit(""))) for n, c in (("duration", duration), ("severity", severity), ("context", relevant))]
+    details = F.filter(F.array(*known), lambda x: x.isNotNull())
+    summary = F.concat(F.coalesce(F.array_join(symptoms, ", "), F.lit("")), F.when(F.size(details) > 0, F.concat(F.lit(" ("), F.array_join(details, ", "), F.lit(")"))).otherwise(""))
+    return F.concat(F.lit("User question: "), summary, F.lit(" - "), asked)
+
+
+def lease_step(held: tuple[str, float, int], event: str, at: float, seconds: int) -> tuple[tuple[str, float, int], bool]:
+    """(state, whether granted): a claim fails while another one holds or after completion; failed ones may be claimed again."""
+    status, claimed, attempts = held
+    if event == "claim":
+        if status == "completed" or status == "processing" and at - claimed < seconds:
+            return held, False
+        return ("processing", at, attempts + 1), True
+    if event in ("complete", "fail"):
+        return ("completed" if event == "complete" else "failed", claimed, attempts), True
+    return held, False
+
+
+def lease_fold(events: DataFrame, order: list[str], seconds: int = 300) -> DataFrame:
+    """(update_id, event, at, granted, status, attempts) of each event (update_id, event, at), in order within its update."""
+    kind = events.schema["update_id"].dataType.simpleString()
+    ordered = events.where("update_id is not null").repartition("update_id").sortWithinPartitions("update_id", *order)
+
+    def run(frames):
+        now, held = None, ("", 0.0, 0)
+        for frame in frames:
+            out = []
+            for u, e, a in zip(frame["update_id"], frame["event"], frame["at"]):
+                if u != now:
+                    now, held = u, ("", 0.0, 0)
+                held, granted = lease_step(held, e, a.timestamp(), seconds)
+                out.append((u, e, a, granted, held[0], held[2]))
+            yield pd.DataFrame(out, columns=["update_id", "event", "at", "granted", "status", "attempts"])
+
+    return ordered.select("update_id", "event", "at").mapInPandas(run, f"update_id {kind}, event string, at timestamp, granted boolean, status string, attempts int")
+
+
 # The fold: one transition function for batches and streams ------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sessions import FOLDED, Inquiry, advance
+from ..operators.sessions import FOLDED, Inquiry, advance, lease_step
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,18 +78,6 @@ class _Lease(StatefulProcessor):
         pass
 
 
-def lease_step(held: tuple[str, float, int], event: str, at: float, seconds: int) -> tuple[tuple[str, float, int], bool]:
-    """(state, whether granted): a claim fails while another one holds or after completion; failed ones may be claimed again."""
-    status, claimed, attempts = held
-    if event == "claim":
-        if status == "completed" or status == "processing" and at - claimed < seconds:
-            return held, False
-        return ("processing", at, attempts + 1), True
-    if event in ("complete", "fail"):
-        return ("completed" if event == "complete" else "failed", claimed, attempts), True
-    return held, False
-
-
 def lease_stream(events: DataFrame, seconds: int = 300) -> DataFrame:
     """(update_id, event, at, granted, status, attempts) for a stream of (update_id, event, at)."""
     schema = f"update_id {events.schema['update_id'].dataType.simpleString()}, event string, at timestamp, granted boolean, status string, attempts int"
