@@ -47,21 +47,24 @@ def sanitized(df: DataFrame, text: str = "text", normalize: bool = True) -> Data
 
 def classified(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds query_class, confidence and matched_terms: emergency phrases before clinic terms, medical otherwise."""
-    q = F.lower(T.squeeze(F.coalesce(df[text], F.lit(""))))
-    emergency, clinic = T.which_of(q, EMERGENCY), T.which_of(q, CLINIC)
+    q = F.col("__q")  # of a projection before, so that it is worked out once for all terms
+    df = df.withColumn("__q", F.lower(T.squeeze(F.coalesce(df[text], F.lit("")))))
+    df = df.withColumns({"__e": T.which_of(q, EMERGENCY), "__c": T.which_of(q, CLINIC)})
+    emergency, clinic = F.col("__e"), F.col("__c")
     urgent, local = F.size(emergency) > 0, F.size(clinic) > 0
     return df.withColumns({
         "query_class": F.when(urgent, "emergency").when(local, "clinic_query").otherwise("medical_query"),
         "confidence": F.when(urgent, 0.99).when(local, 0.92).otherwise(0.70),
         "matched_terms": F.when(urgent, emergency).when(local, clinic).otherwise(F.array().cast("array<string>")),
-    })
+    }).drop("__q", "__e", "__c")
 
 
 def clarified(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds is_personal, confidence and language: a symptom in one's own case, not a general question."""
-    q = F.lower(T.strip(F.coalesce(df[text], F.lit(""))))
+    q = F.col("__q")
+    df = df.withColumn("__q", F.lower(T.strip(F.coalesce(df[text], F.lit("")))))
     personal = T.any_of(q, SYMPTOM) & (T.any_of(q, PERSONAL) | ~T.any_of(q, GENERAL))
-    return df.withColumns({"is_personal": personal, "confidence": F.when(personal, 0.85).otherwise(0.8), "language": T.detect_language(F.coalesce(df[text], F.lit("")))})
+    return df.withColumns({"is_personal": personal, "confidence": F.when(personal, 0.85).otherwise(0.8), "language": T.detect_language(F.coalesce(df[text], F.lit("")))}).drop("__q")
 
 
 def routed(df: DataFrame, text: str = "text", least_confidence: float = 0.55) -> DataFrame:
