@@ -28,12 +28,12 @@ GENERAL = [
 def sanitized(df: DataFrame, text: str = "text", normalize: bool = True) -> DataFrame:
     """Adds original_length, sanitized_text, findings, allowed and the three flags; a null text is treated as empty.
 
-    Texts of ASCII letters are their own compatibility form, so only the others pass through Python.
+    Texts of ASCII letters are their own compatibility form, so Python gets the others' texts only.
     """
     raw = F.coalesce(df[text], F.lit(""))
     out = df.withColumn("original_length", F.length(raw))
     if normalize:
-        out = out.withColumn("__n", T.strip(F.when(raw.rlike(r"[^\x00-\x7f]"), T.nfkc(raw)).otherwise(raw)))
+        out = out.withColumn("__n", T.strip(F.coalesce(T.nfkc(F.when(raw.rlike(r"[^\x00-\x7f]"), raw)), raw)))
     else:
         out = out.withColumn("__n", T.strip(raw))
     masked, kinds = T.mask_pii(F.col("__n"))

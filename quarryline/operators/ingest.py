@@ -165,14 +165,15 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 
 def token_chunks(rows: DataFrame, body: str = "body", size: int = 500, overlap: int = 50) -> DataFrame:
-    """A row a piece: the other columns, part_no and the piece in place of the body. Only long bodies pass through Python."""
+    """A row a piece: the other columns, part_no and the piece in place of the body. Short bodies reach Python as nulls only."""
     rest = [c for c in rows.columns if c != body]
 
     @F.udf("array<string>", useArrow=True)
-    def cut(t: str) -> list[str]:
-        return split_text(t, size, overlap)
+    def cut(t: str | None) -> list[str] | None:
+        return None if t is None else split_text(t, size, overlap)
 
-    pieces = F.when(T.token_count(F.col(body)) > size, cut(F.col(body))).otherwise(F.array(F.col(body)))
+    # A condition around the function wouldn't spare it a row, one within does spare it the text.
+    pieces = F.coalesce(cut(F.when(T.token_count(F.col(body)) > size, F.col(body))), F.array(F.col(body)))
     return rows.select(*rest, F.posexplode(pieces).alias("part_no", body))
 
 
