@@ -40,7 +40,7 @@ SYMBOLS = 64
 CROWDED = 64
 #: Texts of a block.
 BLOCK = 2_000
-#: Copies of one text up to which all pairs of records are listed; beyond, each copy is paired with its class's first record.
+#: Exact copies of one text up to which all their pairs are listed; beyond, each copy is paired with the first one.
 COPIES = 32
 
 
@@ -146,7 +146,7 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprinted(df: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
-    """(id, digest, print): a row for each row whose text has enough words; digest tells apart the sets of shingles."""
+    """(id, digest, raw, print): a row for each row whose text has enough words; digest tells apart the sets of shingles, raw the texts."""
 
     def make():
         shingler = Shingler(width, least_words)
@@ -159,12 +159,12 @@ def _fingerprinted(df: DataFrame, key: str, text: str, width: int, least_words:
             digest = np.add.reduceat(_mix(shingles), starts) ^ _mix(np.diff(np.append(starts, len(shingles))).astype(np.uint64))
             data = pa.py_buffer(np.ascontiguousarray(prints))
             binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SYMBOLS), len(rows), [None, data]).cast(pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digest.view(np.int64)), binary], names=["id", "digest", "print"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digest.view(np.int64)), batch.column(2).take(pa.array(rows)), binary], names=["id", "digest", "raw", "print"])
 
         return step
 
-    base = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].cast("string").alias("id"), df[text].alias("t"))
-    return map_batches(base, "id string, digest bigint, print binary", make)
+    base = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].cast("string").alias("id"), df[text].alias("t"), F.xxhash64(df[text]).alias("raw"))
+    return map_batches(base, "id string, digest bigint, raw bigint, print binary", make)
 
 
 def _prints(column: pa.Array) -> np.ndarray:
@@ -285,18 +285,10 @@ def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("a", "b", "pa", "pb"), "a bigint, b bigint", make)
 
 
-def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b) with id_a < id_b: records whose sets of runs of `width` words share at least `similarity` of their union.
-
-    Both texts have at least `least_words` words. Rows with a null key or text are left out; rows that repeat a key must
-    repeat its text and count once. Records of the same set of shingles form a class; a class of up to `copies` records
-    gives all pairs, with others too, a larger one those of its first record with its members and with other classes (see
-    `classes_of` for the membership). Extra columns are ignored; an empty table gives no rows.
-    """
-    spark = df.sparkSession
+def _similar_classes(df: DataFrame, key: str, text: str, similarity: float, width: int, least_words: int, classes: int, crowded: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the classes of records with one set of shingles: (id, digest, raw, print) by row, (digest, id, n) with the first record, and (a, b) of the similar ones."""
     marked = materialize(_fingerprinted(df, key, text, width, least_words), "fingerprints")
-    members = marked.select("id", "digest").distinct()
-    heads = members.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    heads = marked.select("id", "digest").distinct().groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     heads = materialize(heads, "classes")
     repeats = marked.select("id", "digest").groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1")
     # One fingerprint a class: rows alone in theirs pass by, the others are reduced to one.
@@ -316,17 +308,55 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     wanted = named.select(F.col("ia").alias("id")).union(named.select(F.col("ib").alias("id"))).distinct()
     read = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sides = named.join(read.select(F.col("id").alias("ia"), F.col("t").alias("ta")), "ia").join(read.select(F.col("id").alias("ib"), F.col("t").alias("tb")), "ib")
-    checked = materialize(_verified(sides, width, least_words, similarity), "pairs")
+    return marked, heads, materialize(_verified(sides, width, least_words, similarity), "pairs")
+
+
+def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES, block: int = BLOCK, every_copy: bool = False) -> DataFrame:
+    """(id_a, id_b) with id_a < id_b: records whose sets of runs of `width` words share at least `similarity` of their union.
 
-    # Records of a class: all of them if there are few, the first one otherwise.
-    few = members.join(heads.where((F.col("n") <= copies) & (F.col("n") > 1)).select("digest"), "digest", "left_semi")
-    first = heads.where((F.col("n") == 1) | (F.col("n") > copies)).select("id", "digest")
-    shown = few.select("id", "digest").unionByName(first)
+    Both texts have at least `least_words` words. Rows with a null key or text are left out; rows that repeat a key must
+    repeat its text and count once. Different texts give all pairs of their records. More than `copies` records of the very
+    same text are paired with the first of them only, and with other texts that one stands for all unless `every_copy` is
+    set (see `similar_groups` for the membership). Extra columns are ignored; an empty table gives no rows.
+    """
+    marked, heads, checked = _similar_classes(df, key, text, similarity, width, least_words, classes, crowded, block)
+    members = marked.select("id", "digest").distinct()
+    small = members.join(heads.where((F.col("n") <= copies) & (F.col("n") > 1)).select("digest"), "digest", "left_semi")
+    within = small.select("digest", F.col("id").alias("x")).join(small.select("digest", F.col("id").alias("y")), "digest").where("x < y").select("x", "y")
+    large = heads.where(F.col("n") > copies).select("digest")
+    shown = members
+    if not large.isEmpty():
+        # Classes of many records by their texts: different texts meet text by text, so that no copies meet in vain.
+        own = materialize(marked.select("id", "digest", "raw").join(large, "digest", "left_semi").distinct(), "large")
+        texts = own.groupBy("digest", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        placed = own.join(texts, ["digest", "raw"])
+        few = placed.where(F.col("n") <= copies).select("digest", "raw", "id")
+        star = placed.where((F.col("n") > copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
+        same = few.select("digest", "raw", F.col("id").alias("x")).join(few.select("digest", "raw", F.col("id").alias("y")), ["digest", "raw"]).where("x < y").select("x", "y")
+        seen = own if every_copy else placed.where((F.col("n") <= copies) | (F.col("id") == F.col("first"))).select("id", "digest", "raw")
+        two = texts.select("digest", F.col("raw").alias("ra")).join(texts.select("digest", F.col("raw").alias("rb")), "digest").where("ra < rb")
+        differ = two.join(seen.select("digest", F.col("raw").alias("ra"), F.col("id").alias("x")), ["digest", "ra"]).join(seen.select("digest", F.col("raw").alias("rb"), F.col("id").alias("y")), ["digest", "rb"]).select("x", "y")
+        within = within.unionByName(star).unionByName(same).unionByName(differ)
+        if not every_copy:
+            shown = members.join(large, "digest", "left_anti").unionByName(seen.select("digest", "id"))
     across = checked.join(shown.select(F.col("digest").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("digest").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    within = few.select("digest", F.col("id").alias("x")).join(few.select("digest", F.col("id").alias("y")), "digest").where("x < y").select("x", "y")
-    star = members.join(heads.where(F.col("n") > copies).select("digest", F.col("id").alias("x")), "digest").where("x <> id").select("x", F.col("id").alias("y"))
-    result = across.unionByName(within).unionByName(star)
-    return result.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def similar_groups(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+    """(id, group_id, n_links): connected groups of all similar records and how many records each is similar to, counted by classes.
+
+    Groups are named by their smallest id; records without a similar one are groups of one. Null keys are left out.
+    """
+    marked, heads, checked = _similar_classes(df, key, text, similarity, width, least_words, classes, crowded, block)
+    both = materialize(checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))), "linked")
+    linked = both.join(heads.select(F.col("digest").alias("b"), "n"), "b").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
+    ends = checked.join(heads.select(F.col("digest").alias("a"), F.col("id").alias("id_a")), "a").join(heads.select(F.col("digest").alias("b"), F.col("id").alias("id_b")), "b")
+    named = classes_of(ends.select("id_a", "id_b"), heads.select("id")).select("id", "group_id")
+    whole = heads.join(named, "id").join(linked, "digest", "left").select("digest", "group_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    known = df.select(df[key].cast("string").alias("id")).where("id is not null").distinct()
+    joined = known.join(marked.select("id", "digest").distinct(), "id", "left").join(whole, "digest", "left")
+    return joined.select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _floor(similarity: float) -> int:

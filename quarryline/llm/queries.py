@@ -27,13 +27,12 @@ def p1_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_duplicates.similar_pairs(table(spark, d, "evidence_records"))
+    pairs = near_duplicates.similar_pairs(table(spark, d, "evidence_records"), every_copy=True)
     return pairs.select(F.col("id_a").alias("evidence_id_a"), F.col("id_b").alias("evidence_id_b"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "evidence_records")
-    return near_duplicates.classes_of(near_duplicates.similar_pairs(records), records.select("evidence_id")).withColumnRenamed("id", "evidence_id")
+    return near_duplicates.similar_groups(table(spark, d, "evidence_records")).withColumnRenamed("id", "evidence_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

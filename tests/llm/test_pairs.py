@@ -83,6 +83,20 @@ def test_copies(spark):
     assert {g for g, _ in groups.values()} == {"c00"} and groups["z"] == ("c00", 1)
 
 
+def test_only_exact_copies_form_a_star(spark):
+    """Texts that differ in case and marks share a class, but give all their pairs; links are counted whole."""
+    text = " ".join(f"w{i}" for i in range(30))
+    copies = [(f"c{i:02d}", text) for i in range(6)]
+    rows = copies + [(f"d{i}", text.upper().replace(" ", "," * (i + 1))) for i in range(5)] + [("z", text + " more"), ("q", "too short")]
+    df = spark.createDataFrame(rows, "evidence_id string, text string")
+    inner = {(a, b) for a, b in brute(copies) if a != "c00"}
+    assert {tuple(r) for r in nd.similar_pairs(df, copies=4, every_copy=True).collect()} == brute(rows) - inner
+    later = {(a, b) for a, b in brute(rows) if len({a, b} & {k for k, _ in copies[1:]}) == 1 and "c00" not in (a, b)}
+    assert {tuple(r) for r in nd.similar_pairs(df, copies=4).collect()} == brute(rows) - inner - later
+    groups = {r["id"]: (r["group_id"], r["n_links"]) for r in nd.similar_groups(df).collect()}
+    assert groups == {k: ("q", 0) if k == "q" else ("c00", 11) for k, _ in rows}
+
+
 def test_groups_of_a_chain(spark):
     pairs = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60) if i != 30], "id_a string, id_b string")
     ids = spark.createDataFrame([(f"{i:03d}",) for i in range(62)] + [(None,)], "id string")
