@@ -346,6 +346,8 @@ _onsets = "b br d dr f g gr h j k kl l m n p pr r s st t tr v w".split()
 _vowels = "a e i o u".split()
 _codas = ["n", "l", "r", "s", "th", "nd", "m", "x"]
 _arabic = "بتجدرزسشطعفقكلمنهوي"
+#: Attempts that keep the exact format; each later one has a sign more than the one before, so that any number of items finds room.
+EXACT = 4
 _streets = "Alderfield Bramhope Corley Dunmere Eastby Fernhill Gladewater Hazelbeck Ivyside Juniper Kingsmead Larkrise Millbrook Northgate Oakhurst Priory".split()
 
 
@@ -392,15 +394,19 @@ def _word(draw: _Draw, like: str, feminine: bool | None = None) -> str:
 
 
 def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, families: frozenset[str] = frozenset()) -> str:
-    """An invented item of the same type, script and format; the same for all spellings of one entity."""
+    """An invented item of the same type, script and format; the same for all spellings of one entity.
+
+    From attempt `EXACT` on it is longer than its format: digits more in its number, syllables more in a name.
+    """
     draw = _Draw(key, kind, entity, str(attempt))
+    more = max(0, attempt - EXACT + 1)
     if kind in ("phone", "id_number"):
         canon = same_item(item, kind)
         swap = iter([(draw.pick("0123456789") if c.isdigit() else c.upper() if c.isupper() else c) for c in canon])
         keep = 0
         out = []
         lead = len(canon) - 7 if kind == "phone" else 0  # the country and area code say where, not who
-        seen = 0
+        seen, zero = 0, ord("0")
         for c, f in zip(item, folded(item)):
             if f.isdigit() and seen < len(canon) or kind == "id_number" and f.isalnum() and seen < len(canon):
                 new = next(swap)
@@ -410,6 +416,8 @@ def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, f
                 else:
                     zero = ord(c) - int(f)
                     out.append(chr(zero + int(new)) if new.isdigit() else c)
+                if seen == len(canon):
+                    out += [chr(zero + draw.below(10)) for _ in range(more)]
             else:
                 out.append(c)
         del keep
@@ -419,6 +427,7 @@ def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, f
         user = parts.group(1) if parts else item
         new = re.sub(r"[^\W\d_]+", lambda m: _word(draw, m.group(0)), user)
         new = re.sub(r"\d", lambda m: draw.pick("0123456789"), new)
+        new += "".join(draw.pick("0123456789") for _ in range(more))
         return new + item[len(user) :] if parts else new
     if kind == "address":
         out = re.sub(r"\d", lambda m: draw.pick("123456789"), folded(item))
@@ -426,8 +435,12 @@ def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, f
         plain = [m for m in words if not re.fullmatch(rf"{_kind}|flat|apt|unit|box|p|o|calle|avenida|plaza|camino|paseo|de|del|la|las|los|شارع|حي|طريق|ميدان|رقم|مبنى|عمارة|بناية|منزل|[a-z]{{1,3}}", m.group(0), re.I)]
         for m in reversed(plain):
             w = m.group(0)
-            new = _word(draw, w) if not w.isascii() else draw.pick(_streets) if w[:1].isupper() and not w.isupper() else _word(draw, w)
+            new = _word(draw, w) if not w.isascii() else draw.pick(_streets) if not attempt and w[:1].isupper() and not w.isupper() else _word(draw, w)
             out = out[: m.start()] + new + out[m.end() :]
+        if more:
+            extra = "".join(draw.pick("123456789") for _ in range(more))
+            number = re.search(r"\d+", out)
+            out = out[: number.end()] + extra + out[number.end() :] if number else f"{out} {extra}"
         return out
     # Tokens of a name are drawn by token, in the order of given and family name, so that both orders agree.
     tokens = list(_token.finditer(item))
@@ -438,42 +451,58 @@ def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, f
             continue
         feminine = word[-1:] in "aةى" if i == 0 else None
         new_of.setdefault(word.strip("."), _word(draw, "Xx" if word.isascii() or not any("؀" <= c <= "ۿ" for c in word) else word, feminine))
+    longest, grown = max(new_of, key=len, default=""), False
+    if more and longest:
+        new_of[longest] += "".join(draw.pick(_arabic) if "؀" <= longest[0] <= "ۿ" else draw.pick(_onsets) + draw.pick(_vowels) for _ in range(more))
     out = item
     for m in reversed(tokens):
         low = folded(m.group(0)).lower()
         new = new_of.get(low)
         if new is None:
             continue
+        grown = grown or low == longest
         if len(low) == 1:
-            new = new[0]
+            new = new[: 1 + more * (low == longest)]
         w = m.group(0)
         new = new.upper() if w.isupper() and len(w) > 1 else new.lower() if w.islower() and w.isascii() else new
         out = out[: m.start()] + new + out[m.end() :]
+    if more and not grown:  # no word of it is free to grow
+        out += " " + "".join(_word(draw, item) for _ in range(more))
     return out
 
 
-def surrogate_table(items: DataFrame, key: str, rounds: int = 8) -> DataFrame:
-    """(pii_type, entity, attempt): for each different item the draw whose surrogate is no other's and no real item's."""
+def surrogate_table(items: DataFrame, key: str) -> DataFrame:
+    """(pii_type, entity, attempt): for each different item the draw whose surrogate is no other's and no real item's, in any of its spellings.
+
+    A round draws for the items that are still open; of those that meet, the first by name keeps its draw, and what is
+    settled stays. Rounds end when none is open: surrogates get longer with the attempts, so room never runs out.
+    """
     secret = key.encode()
     entity = F.udf(same_item, "string", useArrow=True)
-    distinct = items.groupBy("pii_type", entity("item", "pii_type").alias("entity")).agg(F.min("item").alias("item"))
-    state = materialize(distinct.withColumn("attempt", F.lit(0)), "entities")
+    spelt = materialize(items.select("pii_type", entity("item", "pii_type").alias("entity"), "item").distinct(), "entities")
+    real = materialize(spelt.select("pii_type", F.col("entity").alias("new")).distinct(), "real")
 
     def draw(kind: str, ent: str, item: str, attempt: int) -> str:
         return same_item(surrogate(item, kind, ent, secret, attempt), kind)
 
     drawn = F.udf(draw, "string", useArrow=True)
-    for _ in range(rounds):
-        named = materialize(state.withColumn("new", drawn("pii_type", "entity", "item", "attempt")), "draws")
-        clash = named.groupBy("pii_type", "new").agg(F.count("*").alias("n"), F.min("entity").alias("keeps")).where("n > 1")
-        real = named.select("pii_type", F.col("entity").alias("new")).withColumn("real", F.lit(True))
-        judged = named.join(clash, ["pii_type", "new"], "left").join(real, ["pii_type", "new"], "left")
-        again = F.coalesce("real", F.lit(False)) | (F.col("n").isNotNull() & (F.col("keeps") != F.col("entity")))
-        state = materialize(judged.select("pii_type", "entity", "item", F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), again.alias("again")), "entities")
-        if state.where("again").isEmpty():
-            break
-        state = state.drop("again")
-    return state.select("pii_type", "entity", "attempt")
+    taken, open_, settled, attempt = real, spelt, None, 0
+    while True:
+        named = materialize(open_.withColumn("new", drawn("pii_type", "entity", "item", F.lit(attempt))), "draws")
+        first = named.groupBy("pii_type", "new").agg(F.min("entity").alias("keeps"))
+        held = taken.withColumn("held", F.lit(True))
+        judged = named.join(first, ["pii_type", "new"]).join(held, ["pii_type", "new"], "left")
+        again = F.max(F.coalesce("held", F.lit(False)) | (F.col("keeps") != F.col("entity")))
+        state = materialize(judged.groupBy("pii_type", "entity").agg(again.alias("again")), "judged")
+        fixed = state.where("not again").select("pii_type", "entity")
+        done = fixed.withColumn("attempt", F.lit(attempt))
+        settled = done if settled is None else settled.unionByName(done)
+        lost = state.where("again").select("pii_type", "entity")
+        if lost.isEmpty():
+            return settled
+        taken = taken.unionByName(materialize(named.join(fixed, ["pii_type", "entity"], "left_semi").select("pii_type", "new").distinct(), "taken"))
+        open_ = materialize(open_.join(lost, ["pii_type", "entity"], "left_semi"), "open")
+        attempt += 1
 
 
 def surrogates(df: DataFrame, names: DataFrame, key: str = "record_id", secret: str = "quarryline") -> DataFrame:

@@ -74,3 +74,17 @@ def test_spelling_and_distinctness(spark):
     drawn = pi.surrogate_table(items, "k").collect()
     new = [pi.surrogate(f"{r['entity'][:3]}-{r['entity'][3:]}", "phone", r["entity"], key, r["attempt"]) for r in drawn]
     assert len(drawn) == 400 and len(set(new)) == 400 and not {re.sub(r"\D", "", x) for x in new} & {r["entity"] for r in drawn}
+
+
+def test_small_spaces_give_distinct_surrogates(spark):
+    """81 box numbers for 81 boxes and their surrogates, 600 houses in roads: none shared, none of them real."""
+    rows = [("address", f"PO Box {a}{b}") for a in range(1, 10) for b in range(1, 10)]
+    rows += [("address", f"{a}{b} Elm{c} Rd") for a in range(1, 10) for b in range(1, 10) for c in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op")]
+    rows += [("phone", "555-0101"), ("phone", "5550101"), ("name", "J."), ("name", "K."), ("name", "de la"), ("email", "1@a.example"), ("email", "2@a.example"), ("id_number", "A 1234")]
+    rows += [("name", f"{c}.") for c in "ABCDEFGHILMNOPQRSTUVWXYZ"]
+    drawn = {(r["pii_type"], r["entity"]): r["attempt"] for r in pi.surrogate_table(spark.createDataFrame(rows, "pii_type string, item string"), "k").collect()}
+    real = {(k, pi.same_item(x, k)) for k, x in rows}
+    new = {(k, e): {pi.same_item(pi.surrogate(x, k, e, b"k", drawn[k, e]), k) for q, x in rows if (q, pi.same_item(x, q)) == (k, e)} for k, e in real}
+    assert set(drawn) == real and all(len(v) == 1 for v in new.values())
+    made = [(k, *v) for (k, _), v in new.items()]
+    assert len(set(made)) == len(made) and not set(made) & real
