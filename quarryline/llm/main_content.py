@@ -11,7 +11,9 @@ threshold of the path to the body are left out.
 
 The corpus contributes a table of the lines that more than a fixed share of its
 pages carry; since a page has some fifty lines, the table's size is bounded by
-fifty over that share, whatever the corpus's size.
+fifty over that share, whatever the corpus's size. Lines of any length that only
+a source's own pages repeat are counted by source and hash, with the same share
+of these pages; their table grows with the sources and is joined to the pages.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,78 +133,152 @@ def _page(content: str, title: str | None, source: str | None) -> tuple[list[tup
     return rows, "" if t == "unknown" or len(t) < 8 else t, squeezed(source).lower() if source else ""
 
 
+def _hash(source: str, key: str) -> int:
+    return (xxhash.xxh3_64_intdigest(f"{source}\x1d{key}") ^ 1 << 63) - (1 << 63)
+
+
+_PAGES, _FRAMES = "\x1e", "\x1c"
+
+
 def _count(content: str, title: str | None, source: str | None, held: dict) -> None:
     rows, t, s = _page(content, title, source)
+    held.setdefault((s, _PAGES), [0, 0, 0, 0])[0] += 1
     lead, seen = False, set()
     last = len(rows) - 1
     for i, (_, line, blank) in enumerate(rows):
         n = len(line)
-        if n > SHORT:
-            lead = False
-            continue
         key = leaf_key(line, t, s)
-        if line[-1] == ":":
+        if n > SHORT:
+            inside = lead = False
+        elif line[-1] == ":":
             inside, lead = False, True
         else:
             inside = lead = lead and not blank and n < 60
         follower = rows[i + 1][1] if i < last else ""
-        for k in (key, (lb := label(key)) and "\x1f" + lb):
+        for k in (key, n <= SHORT and (lb := label(key)) and "\x1f" + lb):
             if k and k not in seen:
                 seen.add(k)
-                v = held.get(k)
+                v = held.get((s, k))
                 if v is None:
-                    v = held[k] = [0, 0, 0, 0]
+                    v = held[s, k] = [0, 0, 0, 0]
                 v[0] += 1
                 v[1] += len(follower) >= LONG
                 v[2] += inside
                 v[3] += bool(follower) and len(follower) < LONG and _title_like(follower) and follower.lower() != t
 
 
-def learn(df: DataFrame, content: str = "content", share: float = 5e-4, least: int = 6) -> Site:
-    """Counts the lines of all pages; keeps those on at least `least` pages and at least `share` of all."""
+def _frame(key: str) -> tuple[str, str] | None:
+    a, mark, b = key.partition("<t>")
+    return (a, b) if mark and (a or b) and len(a.strip()) + len(b.strip()) >= 5 and "<" not in a + b else None
+
+
+def _learnt(df: DataFrame, content: str, share: float = 5e-4, least: int = 6) -> tuple[Site, DataFrame]:
+    """What learn() gives, and (h, n, long, inside, title, frames): lines of at least that share of their source's pages, by hash."""
 
     def run(batches):
-        held: dict[str, list[int]] = {}
+        held: dict[tuple[str, str], list[int]] = {}
 
         def out():
-            keys = list(held)
+            # Texts are given for short lines and labels only.
+            keys = [k if len(k) <= 2 * SHORT else None for _, k in held]
             cols = list(zip(*held.values())) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["key", "n", "long", "inside", "title"])
+            return pa.RecordBatch.from_arrays([pa.array([_hash(s, _FRAMES) for s, _ in held], pa.int64()), pa.array([_hash(s, k) for s, k in held], pa.int64()), pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["site", "h", "key", "n", "long", "inside", "title"])
 
-        pages = 0
         for batch in batches:
             for c, t, s in zip(*(x.to_pylist() for x in batch.columns)):
                 _count(c, t, s, held)
-                pages += 1
             if len(held) > 300_000:
                 yield out()
                 held.clear()
-        held["\x1e"] = [pages, 0, 0, 0]
         yield out()
 
+    sums = [F.sum(c).alias(c) for c in ("n", "long", "inside", "title")]
     source = _columns(df, content).where("c is not null and c <> ''")
-    sums = source.mapInArrow(run, "key string, n bigint, long bigint, inside bigint, title bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "long", "inside", "title")]).where((F.col("n") >= least) | (F.col("key") == "\x1e"))
-    sums = materialize(sums, "lines")
-    pages = sum(r["n"] for r in sums.where(F.col("key") == "\x1e").collect())
-    rows = sums.where(F.length("key") <= 2 * SHORT).where(F.col("n") >= max(least, share * pages)).collect()
+    counted = materialize(source.mapInArrow(run, "site bigint, h bigint, key string, n bigint, long bigint, inside bigint, title bigint").groupBy("site", "h", "key").agg(*sums), "lines")
+    of = counted.where(F.col("key") == _PAGES).select("site", F.col("n").alias("pages"))
+    pages = of.agg(F.sum("pages")).first()[0] or 0
+    rows = counted.where(F.col("key").isNotNull() & (F.col("key") != _PAGES)).groupBy("key").agg(*sums).where(F.col("n") >= max(least, share * pages)).collect()
     site = Site()
     for r in rows:
         k, n = r["key"], r["n"]
-        if k == "\x1e":
-            continue
         if k[0] == "\x1f":
             site.labels[k[1:]] = (n, r["long"] / n)
         else:
             site.lines[k] = (n, r["long"] / n, r["inside"] / n, r["title"] / n)
-            a, mark, b = k.partition("<t>")
-            if mark and (a or b) and r["long"] / n < 0.75 and len(a.strip()) + len(b.strip()) >= 5 and "<" not in a + b:
-                site.frames.append((a, b))
-    return site
+            if r["long"] / n < 0.75 and (frame := _frame(k)):
+                site.frames.append(frame)
+    own = counted.where((F.col("n") >= least) & (F.col("key").isNull() | (F.col("key") != _PAGES))).join(of, "site").where(F.col("n") >= share * F.col("pages"))
+    frames = own.where(F.col("key").contains("<t>") & (F.col("long") < 0.75 * F.col("n"))).groupBy("site").agg(F.collect_set("key").alias("frames"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("n", "long", "inside", "title")]
+    own = own.select("h", "n", "long", "inside", "title", F.lit(None).cast("array<string>").alias("frames")).unionByName(frames.select(F.col("site").alias("h"), *none, "frames"))
+    return site, materialize(own, "own")
 
 
-def _columns(df: DataFrame, content: str) -> DataFrame:
+def learn(df: DataFrame, content: str = "content", share: float = 5e-4, least: int = 6) -> Site:
+    """Counts the lines of all pages; keeps those on at least `least` pages and at least `share` of all."""
+    return _learnt(df, content, share, least)[0]
+
+
+def _view(site: Site, own: list[dict], source: str, keys: list[str]) -> Site:
+    """What is known of a page's lines: by all pages, else by those of its source."""
+    by = {r["h"]: r for r in own}
+    view = Site({}, {}, site.frames)
+    for k in keys:
+        if k in site.lines:
+            view.lines[k] = site.lines[k]
+            view.kinds[k] = site.kind(k)
+        elif r := by.get(_hash(source, k)):
+            view.lines[k] = (r["n"], r["long"] / r["n"], r["inside"] / r["n"], r["title"] / r["n"])
+        if lb := label(k):
+            if lb in site.labels:
+                view.labels[lb] = site.labels[lb]
+            elif r := by.get(_hash(source, "\x1f" + lb)):
+                view.labels[lb] = (r["n"], r["long"] / r["n"])
+    if r := by.get(_hash(source, _FRAMES)):
+        view.frames = [*site.frames, *(x for k in r["frames"] if k not in site.lines and (x := _frame(k)))]
+    return view
+
+
+def _read(df: DataFrame, content: str, site: Site | None, columns: list) -> tuple[DataFrame, Site]:
+    """(*columns, c, t, s, own) of each row and what all pages know; own is what only its source's pages know of its lines."""
+    rows = df.select(*columns, *_texts(df, content))
+    if site is not None:
+        return rows.withColumn("own", F.lit(None).cast(_OWN)), site
+    site, own = _learnt(df, content)
+    shared = df.sparkSession.sparkContext.broadcast((frozenset(site.lines), frozenset(site.labels)))
+
+    def make():
+        lines, labels = shared.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pages, hashes = [], []
+            for page, c, title, source in zip(*(x.to_pylist() for x in batch.columns)):
+                found, t, s = _page(c, title, source)
+                keys = {leaf_key(line, t, s) for _, line, _ in found}
+                asked = [k for k in keys if k not in lines] + ["\x1f" + lb for lb in {label(k) for k in keys} if lb and lb not in labels] + [_FRAMES]
+                pages += [page] * len(asked)
+                hashes += [_hash(s, k) for k in asked]
+            return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], names=["page", "h"])
+
+        return step
+
+    # Rows of one page id are of one page, or share what they are given, which does no harm: it is looked up by hash.
+    rows = rows.withColumn("page", F.xxhash64("c", "t", "s"))
+    asked = map_batches(rows.where("c is not null and c <> ''").select("page", "c", "t", "s"), "page bigint, h bigint", make)
+    given = asked.join(own, "h").groupBy("page").agg(F.collect_set(F.struct("h", "n", "long", "inside", "title", "frames")).alias("own"))
+    return rows.join(given, "page", "left").drop("page"), site
+
+
+_OWN = "array<struct<h:bigint,n:bigint,long:bigint,inside:bigint,title:bigint,frames:array<string>>>"
+
+
+def _texts(df: DataFrame, content: str) -> list:
     null = F.lit(None).cast("string")
-    return df.select(df[content].alias("c"), (df["title"] if "title" in df.columns else null).alias("t"), (df["source"] if "source" in df.columns else null).alias("s"))
+    return [df[content].alias("c"), (df["title"] if "title" in df.columns else null).alias("t"), (df["source"] if "source" in df.columns else null).alias("s")]
+
+
+def _columns(df: DataFrame, content: str) -> DataFrame:
+    return df.select(*_texts(df, content))
 
 
 def density(chars: float, tags: float, link_chars: float, link_tags: float, body_share: float) -> float:
@@ -214,21 +291,25 @@ def density(chars: float, tags: float, link_chars: float, link_tags: float, body
     return chars / tags * (math.log(inner) / base if inner > 1 else 0.0)
 
 
-def furniture(content: str, title: str | None, source: str | None, site: Site) -> list[int]:
-    """Numbers of the non-empty lines that aren't part of the article."""
+def furniture(content: str, title: str | None, source: str | None, site: Site, own: list[dict] | None = None) -> list[int]:
+    """Numbers of the non-empty lines that aren't part of the article; own is what only the pages of its source know."""
     rows, t, s = _page(content, title, source)
     n = len(rows)
     if not n:
         return []
     kinds = [""] * n
-    keys = [leaf_key(line, t, s) if len(line) <= 2 * SHORT else "" for _, line, _ in rows]
+    keys = [leaf_key(line, t, s) for _, line, _ in rows]
+    if own:
+        site = _view(site, own, s, keys)
     for i, (_, line, _) in enumerate(rows):  # leaves that their text decides
         key = keys[i]
-        if not key:
-            kinds[i] = "P"
+        if len(line) > 2 * SHORT:
+            kinds[i] = "F" if site.kind(key) == "F" and line[-1] != ":" else "P"
             continue
         sentence = line[-1] in _end and line.count(" ") >= 5
         known = site.kind(key)
+        if len(line) > SHORT and known != "F":
+            known = None
         if key == "<t>":
             kinds[i] = "H"
         elif known == "F" and line[-1] != ":":
@@ -308,7 +389,7 @@ def page_furniture(df: DataFrame, key: str = "article_id", content: str = "conte
     Null and empty contents have none. Columns `title` and `source` help if they are there; others are ignored. Repeated
     rows count once; rows with a null key are left out of the result.
     """
-    site = site or learn(df, content)
+    source, site = _read(df.where(df[content].isNotNull() & df[key].isNotNull()), content, site, [df[key].cast("long").alias("k")])
     shared = df.sparkSession.sparkContext.broadcast(site)
 
     def make():
@@ -316,24 +397,21 @@ def page_furniture(df: DataFrame, key: str = "article_id", content: str = "conte
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, nos = [], []
-            for i, c, t, s in zip(*(x.to_pylist() for x in batch.columns)):
-                found = furniture(c, t, s, known)
+            for i, c, t, s, own in zip(*(x.to_pylist() for x in batch.columns)):
+                found = furniture(c, t, s, known, own)
                 ids += [i] * len(found)
                 nos += found
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=[key, "line_no"])
 
         return step
 
-    null = F.lit(None).cast("string")
-    source = df.where(df[content].isNotNull() & df[key].isNotNull()).select(df[key].cast("long").alias("k"), df[content].alias("c"), (df["title"] if "title" in df.columns else null).alias("t"), (df["source"] if "source" in df.columns else null).alias("s"))
     return map_batches(source, f"`{key}` bigint, line_no int", make).distinct()
 
 
 def main_content(df: DataFrame, key: str = "article_id", content: str = "content", site: Site | None = None) -> DataFrame:
     """(key, text, n_left_out) of each row: its content without the page around it; a null content gives a null text."""
-    site = site or learn(df, content)
+    source, site = _read(df, content, site, [df[key].alias("k")])
     shared = df.sparkSession.sparkContext.broadcast(site)
-    null = F.lit(None).cast("string")
     kind = df.schema[key].dataType.simpleString()
 
     def make():
@@ -341,13 +419,12 @@ def main_content(df: DataFrame, key: str = "article_id", content: str = "content
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, left = [], []
-            for c, t, s in zip(*(x.to_pylist() for x in batch.columns[1:])):
-                gone = set(furniture(c, t, s, known)) if c else set()
+            for c, t, s, own in zip(*(x.to_pylist() for x in batch.columns[1:])):
+                gone = set(furniture(c, t, s, known, own)) if c else set()
                 left.append(len(gone))
                 texts.append(None if c is None else "\n".join(x for no, x in enumerate(c.split("\n")) if no not in gone).strip())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(left, pa.int32())], names=[key, "text", "n_left_out"])
 
         return step
 
-    source = df.select(df[key].alias("k"), df[content].alias("c"), (df["title"] if "title" in df.columns else null).alias("t"), (df["source"] if "source" in df.columns else null).alias("s"))
     return map_batches(source, f"`{key}` {kind}, text string, n_left_out int", make)

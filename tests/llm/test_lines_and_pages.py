@@ -80,3 +80,19 @@ def test_page_furniture(spark):
     texts = {r["article_id"]: r["text"] for r in main_content.main_content(df).collect()}
     assert texts[100] is None and texts[101] == "" and texts[3].startswith(rows[3][1]) and texts[3].endswith("Rest well.")
     assert main_content.page_furniture(df.limit(0)).count() == 0
+
+
+def test_furniture_of_a_small_source(spark):
+    """Lines of 8 pages of a small site, one of them over 300 characters, are learnt beside 30,000 other pages."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("bcdfglmnprst", k=3)) + "a" + "".join(rng.choices("bcdlmnrst", k=4))
+    consent = "We and our partners keep small files on the device that you read this with, " + "and they tell us which of the pages are read and for how long that is, " * 5 + "which you may decline at any time."
+    rows = [(i, f"{word()} {word()}", "big", f"{word()} {word()}") for i in range(30_000)]
+    for i in range(8):
+        t = f"{word().title()} disease"
+        rows.append((90_000 + i, t, " Small  site", "\n".join(["Everything that the valley reads.", "Wards and doctors of the valley", t, PARA.format(word()), PARA.format(word()), "", consent])))
+    df = spark.createDataFrame(rows, "article_id long, title string, source string, content string").repartition(4)
+    got = {tuple(r) for r in main_content.page_furniture(df).where("article_id >= 90000").collect()}
+    assert got == {(90_000 + i, n) for i in range(8) for n in (0, 1, 6)}
+    left = {r["n_left_out"] for r in main_content.main_content(df).where("article_id >= 90000").collect()}
+    assert left == {3}
