@@ -6,8 +6,10 @@ from it: the body holds blocks, a block a heading with its paragraphs and lists
 or a run of short lines, and each line is a leaf and a tag. What counts as link
 text is learnt from the corpus: lines, and frames around page titles, that many
 pages carry and that don't head paragraphs or lists. The subtree of the largest
-sum of its children's densities is the article's; within it, nodes below the
-threshold of the path to the body are left out.
+sum of its children's densities is the article's, and the threshold of the path
+from it to the body leaves out short lines that text, counts and place leave
+open. Whole blocks aren't left out by density: without tags a list of short
+items is as thin as a menu (the README has figures).
 
 The corpus contributes a table of the lines that more than a fixed share of its
 pages carry; since a page has some fifty lines, the table's size is bounded by
