@@ -71,6 +71,13 @@ def clean_guard(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", "cleaned_at", F.length(T.clean_guard(F.col("content"), F.substring("content", 1, 400))).alias("kept"))
 
 
+@query()
+def clean_guard_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The guard on the cleaning of the whole texts, where clean_guard has a prefix in its place."""
+    a = _t(spark, d, "articles")
+    return a.select("article_id", "cleaned_at", T.clean_guard(F.col("content"), T.clean_text(F.col("content"), F.col("source_dir"))).alias("content"))
+
+
 PAGE = "concat('<html><head><title>t</title><style>p{}</style></head><body><nav><a href=\"/conditions/', article_id, '-of-the-day/\">x</a></nav><article><h1>', coalesce(title, ''), '</h1><p>', replace(replace(coalesce(content, ''), '&', '&amp;'), '<', '&lt;'), '</p><script>x()</script></article></body></html>')"
 
 
