@@ -52,6 +52,38 @@ def test_cleaned(spark):
     assert got[0] == ("own line number a\nshort", 1) and got[9] == ("a b c d e", 0) and got[10] == (None, 0) and len(got) == 8
 
 
+def test_blocks_decide_what_is_cleaned(spark):
+    """Short lines go with a block of several; a line of it alone, or the block in five documents, stays."""
+    rows = [(i, "s", f"Home\n\nAbout us {i}\nLog in\nown text of {'v' * i}\nHome\nown line {'w' * i}") for i in range(6)] + [(20 + i, "s", f"Share\nSend to a friend\nend {'x' * i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "article_id long, source string, content string").repartition(7, "article_id")
+    clean = lambda depth: {r["article_id"]: (r["content"], r["n_removed"]) for r in repeated_lines.without_repeated_lines(df, depth=depth).collect()}
+    whole, single = clean(None), clean(1)
+    assert whole[2] == ("own text of vv\nHome\nown line ww", 4) and whole[21] == (rows[7][2], 0)
+    assert single[2] == (rows[2][2], 0)
+    assert repeated_lines.repeated_lines(df).count() == 0
+
+
+def test_depth_loses_no_block(spark):
+    """The parts of at most `least_words` lines cover what all blocks of any length cover."""
+    rng = random.Random(7)
+    pool = [" ".join(rng.choices("a b c d e f".split(), k=rng.randint(1, 6))) for _ in range(6)]
+    rows = [(i, rng.choice("st"), "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    occurs = defaultdict(set)
+    for a, s, c in rows:
+        lines = c.split("\n")
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[i:j]) >= 5:
+                    occurs[s, tuple(lines[i:j])].add(a)
+    want = {}
+    for a, s, c in rows:
+        lines = c.split("\n")
+        gone = {n for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if len(occurs[s, tuple(lines[i:j])]) >= 6 for n in range(i, j)}
+        want[a] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    df = spark.createDataFrame(rows, "article_id long, source string, content string").repartition(9, "article_id")
+    assert {r["article_id"]: r["content"] for r in repeated_lines.without_repeated_lines(df).collect()} == want
+
+
 HEAD = ["Menu", "Home", "Log in", "Home > Conditions > {t}"]
 FOOT = ["© 2024 {s}. All rights reserved worldwide.", "Up next: {o}", "Site map", "Keep reading", "{o}", "{p}"]
 PARA = "This is a paragraph about {} that goes on for quite a while, so that it is longer than any line of a menu would ever be. Rest well."
