@@ -70,6 +70,8 @@ def cued(line: str, low: str) -> bool:
 
 LONG = 100
 SHORT = 150
+#: Share of its density that link text must leave a line, and the share of list places that a bullet counts for.
+STANDING, LISTED = 0.05, 0.5
 
 
 def squeezed(line: str) -> str:
@@ -300,6 +302,7 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
     if not n:
         return []
     kinds = [""] * n
+    lists = [0.0] * n  # of a line that only counts call furniture: the share of its occurrences that are in lists
     keys = [leaf_key(line, t, s) for _, line, _ in rows]
     if own:
         site = _view(site, own, s, keys)
@@ -316,6 +319,8 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
             kinds[i] = "H"
         elif known == "F" and line[-1] != ":":
             kinds[i] = "F"
+            if not cued(line, key) and not _related.match(line) and "<" not in key:
+                lists[i] = min(1.0, max(site.lines[key][2], LISTED if _bullet.match(line) else 0.0))
         elif _bullet.match(line) and not cued(line, key):
             kinds[i] = "L"
         elif line[-1] == ":" and not _related.match(line):
@@ -358,6 +363,16 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
             related = related and keys[i] not in site.lines or bool(_related.match(line)) or bool(known and known[3] >= 0.75 and known[0] >= 6 and line.count(" ") <= 4)
         elif k in ("P", "H", "I"):
             related = False
+    # Link text is what is furniture wherever it occurs; a line that is known by counts alone is so but for the share of its
+    # occurrences in lists. The line stands if links leave it a part of the density that it would have without them.
+    size = [len(line) for _, line, _ in rows]
+    link = [size[i] * (1 - lists[i]) if kinds[i] == "F" else 0 for i in range(n)]
+    share = sum(link) / sum(size)
+    for i in range(n):
+        if lists[i] and kinds[i] == "F" and density(size[i], 1, link[i], 1, share) >= STANDING * density(size[i], 1, 0, 0, share):
+            kinds[i], link[i] = "L", 0
+    total, linked = sum(size), sum(link)
+    share = linked / total if total else 0.0
     # The tree: a block is a heading with what follows, or a run of short lines; its leaves are its tags.
     blocks: list[list[int]] = []
     for i, k in enumerate(kinds):
@@ -365,10 +380,6 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
         if fresh:
             blocks.append([])
         blocks[-1].append(i)
-    size = [len(line) for _, line, _ in rows]
-    link = [size[i] if kinds[i] == "F" else 0 for i in range(n)]
-    total, linked = sum(size), sum(link)
-    share = linked / total if total else 0.0
     body = density(total, n, linked, sum(k == "F" for k in kinds), share)
     of = [density(sum(size[i] for i in b), len(b), sum(link[i] for i in b), sum(kinds[i] == "F" for i in b), share) for b in blocks]
     # A leaf of link text alone has density 0.

@@ -128,3 +128,15 @@ def test_furniture_of_a_small_source(spark):
     assert got == {(90_000 + i, n) for i in range(8) for n in (0, 1, 6)}
     left = {r["n_left_out"] for r in main_content.main_content(df).where("article_id >= 90000").collect()}
     assert left == {3}
+
+
+def test_list_items_that_counts_take_for_furniture(spark):
+    """A list's item that many pages have, often with a banner in between, is no menu: its links leave it a density of its own."""
+    rows = []
+    for i in range(60):
+        items = ["- a dull ache", "- a short fever"] if i % 2 else ["- a short fever", "- a dull ache"]
+        lines = ["Menu", "Log in", "Title of page " + "x" * i, PARA.format(i), "These may include:", items[0], "Advertisement - the text goes on", items[1], "Self care", PARA.format(i + 100), "Site map"]
+        rows.append((i, "Title of page " + "x" * i, "Site", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "article_id long, title string, source string, content string")
+    gone = {(r["article_id"], r["line_no"]) for r in main_content.page_furniture(df).collect()}
+    assert gone == {(i, n) for i in range(60) for n in (0, 1, 6, 10)}
