@@ -326,7 +326,7 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
         elif line[-1] == ":" and not _related.match(line):
             kinds[i] = "I"
         elif known:
-            kinds[i] = known
+            kinds[i] = "F" if known == "L" and cued(line, key) else known
         elif (lb := label(key)) and (stat := site.labels.get(lb)) and stat[1] < 0.6:
             kinds[i] = "F"
         elif any(key.startswith(a) and key.endswith(b) and len(key) > len(a) + len(b) for a, b in site.frames):

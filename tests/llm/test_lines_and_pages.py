@@ -135,7 +135,7 @@ def test_list_items_that_counts_take_for_furniture(spark):
     rows = []
     for i in range(60):
         items = ["- a dull ache", "- a short fever"] if i % 2 else ["- a short fever", "- a dull ache"]
-        lines = ["Menu", "Log in", "Title of page " + "x" * i, PARA.format(i), "These may include:", items[0], "Advertisement - the text goes on", items[1], "Self care", PARA.format(i + 100), "Site map"]
+        lines = ["Menu", "Log in", "Title of page " + "x" * i, PARA.format("y" * i + "a"), "These may include:", items[0], "Advertisement - the text goes on", items[1], "Self care", PARA.format("z" * i + "b"), "Site map"]
         rows.append((i, "Title of page " + "x" * i, "Site", "\n".join(lines)))
     df = spark.createDataFrame(rows, "article_id long, title string, source string, content string")
     gone = {(r["article_id"], r["line_no"]) for r in main_content.page_furniture(df).collect()}
