@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import settings
 from .functions import text as T
-from .operators import evidence, guards, ingest, retrieval, sessions
+from .operators import evidence, generation, guards, ingest, retrieval, sessions, store
 from .plans import answering
 from .providers import embed
 
@@ -65,15 +66,21 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", "cleaned_at", T.clean_text(F.col("content"), F.col("source_dir")).alias("content"))
 
 
-@query(f"""select article_id, cleaned_at, case when length({_strip('content')}) > 0 and length({_strip("substr(content, 1, 400)")}) / length({_strip('content')}) < 0.5 then length(content) else length(substr(content, 1, 400)) end as kept from articles""")
+CLEANED = f"""{_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, 'http[^{W}]+', '', 'g'), '[^{W}]+@[^{W}]+', '', 'g'), 'Page last reviewed.*?[0-9]{{4}}', '', 'g'), 'Next review due.*?[0-9]{{4}}', '', 'g'), '(?m)^[{W}]*Contents[{W}]*$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")}"""
+
+
+@query(f"""select article_id, cleaned_at, case when length({_strip('content')}) > 0 and length({_strip('c')}) / length({_strip('content')}) < 0.5 then content else c end as content from (select article_id, cleaned_at, content, case when article_id % 2 = 0 then {CLEANED} else array_to_string(list_filter(string_split(content, chr(10)), lambda x: length(x) > 60), chr(10)) end as c from articles)""")
 def clean_guard(spark: SparkSession, d: str) -> DataFrame:
+    """The guard on whole texts: cleaned by the rules, or cut to their long lines, which some of them don't survive."""
     a = _t(spark, d, "articles")
-    return a.select("article_id", "cleaned_at", F.length(T.clean_guard(F.col("content"), F.substring("content", 1, 400))).alias("kept"))
+    long = F.array_join(F.filter(F.split("content", "\n"), lambda x: F.length(x) > 60), "\n")
+    cleaned = F.when(F.col("article_id") % 2 == 0, T.clean_text(F.col("content"), F.col("source_dir"))).otherwise(long)
+    return a.select("article_id", "cleaned_at", T.clean_guard(F.col("content"), cleaned).alias("content"))
 
 
 @query()
 def clean_guard_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """The guard on the cleaning of the whole texts, where clean_guard has a prefix in its place."""
+    """The guard on the rules' cleaning of all texts."""
     a = _t(spark, d, "articles")
     return a.select("article_id", "cleaned_at", T.clean_guard(F.col("content"), T.clean_text(F.col("content"), F.col("source_dir"))).alias("content"))
 
@@ -134,8 +141,8 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select 'articles' as kind, article_id::varchar as id, source from articles union all select 'evidence', evidence_id, source from evidence_records""")
 def chunk_union(spark: SparkSession, d: str) -> DataFrame:
-    a = _t(spark, d, "articles").select(F.lit("articles").alias("kind"), F.col("article_id").cast("string").alias("id"), "source")
-    return a.unionByName(_t(spark, d, "evidence_records").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), "source"), allowMissingColumns=True)
+    a = _t(spark, d, "articles").select(F.col("article_id").cast("string").alias("id"), "source")
+    return ingest.chunk_union({"articles": a, "evidence": _t(spark, d, "evidence_records").select(F.col("evidence_id").alias("id"), "source")})
 
 
 @query("""select case when doc_type = 'guideline' then 'medical' else 'other' end as part, count(*) as n from documents group by 1""")
@@ -175,8 +182,7 @@ def incremental_pending(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select 'articles' as collection, count(*) as n, count(distinct article_id) as n_ids from articles union all select 'documents', count(*), count(distinct doc_id) from documents union all select 'evidence', count(*), count(distinct evidence_id) from evidence_records""")
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_t(spark, d, t).groupBy().agg(F.count("*").alias("n"), F.countDistinct(k).alias("n_ids")).select(F.lit(n).alias("collection"), "n", "n_ids") for n, t, k in (("articles", "articles", "article_id"), ("documents", "documents", "doc_id"), ("evidence", "evidence_records", "evidence_id"))]
-    return parts[0].union(parts[1]).union(parts[2])
+    return store.collection_stats({n: (_t(spark, d, t), k) for n, t, k in (("articles", "articles", "article_id"), ("documents", "documents", "doc_id"), ("evidence", "evidence_records", "evidence_id"))})
 
 
 @query(f"""select article_id, cleaned_at, {_strip("regexp_replace(c, '\\n{3,}', chr(10) || chr(10), 'g')")} as content from (select article_id, cleaned_at, {"regexp_replace(" * len(T.SOURCE_RULES["mayo"])}{"regexp_replace(" * 5}content{"".join(f", '{p.replace('%s', W).replace('(?d)', '').replace('(?md)', '(?m)')}', '', 'g')" for p, _ in T.GENERAL_RULES + T.SOURCE_RULES["mayo"])} as c from articles)""")
@@ -184,9 +190,9 @@ def clean_text_mayo(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "articles").select("article_id", "cleaned_at", T.clean_text(F.col("content"), F.lit("mayo")).alias("content"))
 
 
-@query()
+@query(f"""select article_id, cleaned_at, 'Unknown' as title, array_to_string(list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10)) as content from (select article_id, cleaned_at, replace(content, '&', 'and') as content from articles)""")
 def html_extract_ads(spark: SparkSession, d: str) -> DataFrame:
-    html = F.expr("concat('<main><div class=\"ad\">', coalesce(url, ''), '</div><header>x</header>', replace(coalesce(content, ''), '<', '&lt;'), '</main>')")
+    html = F.expr("concat('<main><div class=\"ad\">', coalesce(url, ''), '</div><header>x</header>', replace(replace(coalesce(content, ''), '&', 'and'), '<', '&lt;'), '</main>')")
     return ingest.html_extract(_t(spark, d, "articles").select(F.struct("article_id", "cleaned_at").alias("k"), html.alias("html")), "k", "html", "mayo").select("k.*", "title", "content")
 
 
@@ -195,10 +201,93 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", embed(F.col("text")).alias("vector"))
 
 
-@query("""select doc_id, case when trim(coalesce(source, '')) = '' then 'gemini/gemini-2.5-flash' when contains(source, '/') then source else 'gemini/' || source end as model from documents""")
+@query(f"""select doc_id, case when n = '' then '{settings.DEFAULT_MODEL}' when {' or '.join(f"starts_with(lower(n), '{x}')" for x in settings.PROVIDERS)} then n when starts_with(lower(n), 'gemini-') then 'gemini/' || n else n end as model
+    from (select doc_id, trim(coalesce(case doc_id % 5 when 0 then 'gemini-' || source when 1 then 'Groq/' || source when 2 then ' ' else source end, '')) as n from documents)""")
 def normalize_model(spark: SparkSession, d: str) -> DataFrame:
-    name = F.trim(F.coalesce("source", F.lit("")))
-    return _t(spark, d, "documents").select("doc_id", F.when(name == "", "gemini/gemini-2.5-flash").when(F.contains("source", F.lit("/")), F.col("source")).otherwise(F.concat(F.lit("gemini/"), "source")).alias("model"))
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, F.concat(F.lit("gemini-"), "source")).when(k == 1, F.concat(F.lit("Groq/"), "source")).when(k == 2, " ").otherwise(F.col("source"))
+    return _t(spark, d, "documents").select("doc_id", settings.model_id(name).alias("model"))
+
+
+@query("select doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(source, ''), 'e'), lambda x: trim(x)), lambda x: x <> ''), ',') as k, len(list_distinct(list_filter(list_transform(string_split(coalesce(source, '') || ', ' || coalesce(source, ''), ','), lambda x: trim(x)), lambda x: x <> '')))::int as n_keys from documents")
+def key_list(spark: SparkSession, d: str) -> DataFrame:
+    source = F.coalesce("source", F.lit(""))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.filter(F.transform(F.split(source, "e"), lambda x: F.trim(x)), lambda x: x != ""), ",").alias("k"), F.size(settings.keys_of(F.concat(source, F.lit(", "), source))).alias("n_keys"))
+
+
+@query("""select source_dir, case when contains(lower(source_dir), 'mayo') then 'mayo' else lower(source_dir) end as name, count(*) as n from articles group by all""")
+def source_name(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "articles").groupBy("source_dir", ingest.source_name(F.col("source_dir")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"""select article_id, cleaned_at, coalesce(length({_strip('content')}) > 2000, false) as too_long from articles""")
+def context_warning(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "articles").select("article_id", "cleaned_at", ingest.too_long(F.col("content"), 2000).alias("too_long"))
+
+
+def _page(title: str, root: str, inside: str = "") -> str:
+    return f"concat('<html><head><title>t</title></head><body><div>', coalesce(url, ''), '</div>{root}<h1>', {title}, '</h1>{inside}<p>', replace(replace(coalesce(content, ''), '&', '&amp;'), '<', '&lt;'), '</p></div></body></html>')"
+
+
+LINES = f"array_to_string(list_concat(case when {_strip('coalesce(h, {q})')} = '' then [] else [{_strip('h')}] end, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')), chr(10))".replace("{q}", "''")
+
+
+@query(f"""select article_id, cleaned_at, coalesce(nullif({_squeeze("coalesce(h, '')")}, ''), 'Unknown') as title, {LINES} as content from (select *, title as h from articles)""")
+def html_extract_medline(spark: SparkSession, d: str) -> DataFrame:
+    html = F.expr(_page("coalesce(title, '')", '<div id="topic">', "<nav>away</nav>"))
+    return ingest.html_extract(_t(spark, d, "articles").select(F.struct("article_id", "cleaned_at").alias("k"), html.alias("html")), "k", "html", "medline").select("k.*", "title", "content")
+
+
+@query(f"""select article_id, cleaned_at, case when h = 'Recommendations' then 'NG' || article_id || ' Recommendations' else coalesce(nullif({_squeeze("coalesce(h, '')")}, ''), 'NICE Guideline NG' || article_id) end as title, {LINES} as content
+    from (select *, case when article_id % 3 = 0 then 'Recommendations' else title end as h from articles) where coalesce({_squeeze('h')}, '') <> 'Unknown'""")
+def html_extract_nice(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "articles").withColumn("h", F.when(F.col("article_id") % 3 == 0, "Recommendations").otherwise(F.col("title"))).where(F.coalesce(T.squeeze(F.col("h")), F.lit("")) != "Unknown")
+    html = F.expr(_page("coalesce(h, '')", '<div class="wide chapter">', "<aside>away</aside>"))
+    got = ingest.html_extract(a.select(F.struct("article_id", "cleaned_at").alias("k"), html.alias("html")), "k", "html", "nice")
+    return got.select("k.*", ingest.nice_title(F.col("title"), F.concat(F.lit("ng"), F.col("k.article_id"))).alias("title"), "content")
+
+
+@query("""select count(*) as total, count(*) filter (where url is not null and content <> '') as processed, count(*) filter (where url is not null and coalesce(content, '') = '') as skipped, count(*) filter (where url is null) as failed from articles""")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "articles")
+    status = F.when(F.col("url").isNull(), "failed").when(F.coalesce("content", F.lit("")) == "", "skipped").otherwise("processed")
+    return store.outcome_counts(a, status)
+
+
+@query(f"""select doc_id, {POINT_SQL} as point_id, {POINT_SQL} as chunk_id, title as doc_title, 'abc1234' as git_commit, '1' as script_version, 'hash' as embed_model_id, '' as embed_revision from (select doc_id, title, sha1(unhex('{T.POINT_NAMESPACE}') || encode(text)) as h from documents where text is not null)""")
+def payload_build(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "documents").where("text is not null").select("doc_id", T.point_id(F.col("text")).alias("point_id"), F.lit(None).cast("string").alias("chunk_id"), F.col("title").alias("doc_title"), "source")
+    return ingest.payload_build(p, "hash", git_commit="abc1234").drop("indexed_at")
+
+
+@query("""select doc_id as id, coalesce(text, '') as text, coalesce(title, '') as doc_title, coalesce(case when doc_id % 2 = 0 then lang end, source, '') as source, '' as section, coalesce(url, '') as url, coalesce(doc_type, '') as type from documents""")
+def payload_normalize(spark: SparkSession, d: str) -> DataFrame:
+    sources = F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>"))
+    p = _t(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text", F.col("title").alias("doc_title"), "source", "url", F.col("doc_type").alias("type"), sources.alias("sources"))
+    return ingest.payload_normalize(p)
+
+
+@query("""select doc_id as point_id, title from documents where doc_type = 'leaflet' union all select doc_id, 'new ' || doc_id from documents where doc_type = 'faq'""")
+def collection_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A collection is created, filled, and filled again with some points replaced."""
+    docs = _t(spark, d, "documents")
+    known = store.Collections(spark, f"{store.shared_dir(spark).rstrip('/')}/collections-query")
+    name = f"c{abs(hash(d))}"
+    known.create(name, "point_id bigint, title string", "clean")
+    known.upsert(name, docs.where("doc_type in ('leaflet', 'faq')").select(F.col("doc_id").alias("point_id"), "title"))
+    known.upsert(name, docs.where("doc_type = 'faq'").select(F.col("doc_id").alias("point_id"), F.concat(F.lit("new "), "doc_id").alias("title")))
+    return known.read(name)
+
+
+@query("""select vec_id as id, title from embeddings join documents on doc_id = vec_id where vec_id % 50 = 0""")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    points = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.array(F.lit(0.0)).alias("vector"))
+    return store.looked_up(points, _t(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("id")), "id")
+
+
+@query("select doc_id, title from documents order by doc_id limit 100")
+def scroll_scan(spark: SparkSession, d: str) -> DataFrame:
+    return store.scrolled(_t(spark, d, "documents").select("doc_id", "title"), 100, "doc_id")
 
 
 # Guards and routing -------------------------------------------------------------------------------------------------
@@ -253,25 +342,42 @@ def route(spark: SparkSession, d: str) -> DataFrame:
     return guards.routed(_t(spark, d, "chat_requests").distinct()).groupBy("lang", "route").agg(F.count("*").alias("n"))
 
 
+OPEN = f"""with q as (select distinct request_id, user_ref, requested_at, lower({_squeeze("coalesce(text, '')")}) as q, lower({_strip("coalesce(text, '')")}) as p, {_strip("coalesce(text, '')")} <> '' as allowed from chat_requests),
+    n as (select context_key, max({{'s': saved_at, 't': status}}) as v from patient_contexts where context_key is not null group by 1),
+    c as (select q.*, {_any('q', guards.EMERGENCY)} as e, {_any('q', guards.CLINIC)} as c, {_any('p', guards.SYMPTOM)} and ({_any('p', guards.PERSONAL)} or not {_any('p', guards.GENERAL)}) as own,
+        coalesce(n.v.t = 'collecting' and not coalesce(requested_at - n.v.s > interval 30 minutes, false), false) as open from q left join n on n.context_key = substr(sha256({_strip('user_ref')}), 1, 32))
+    select request_id, case when not allowed then 'blocked' when e then 'emergency' when open and not c then 'inquiry' when c then 'clinic' when own then 'inquiry' else 'medical' end as route,
+        case when open and not c and not e then 'active_inquiry' else 'classifier' end as decided_by, count(*) as n from c group by all"""
+
+
+@query(OPEN)
+def route_open(spark: SparkSession, d: str) -> DataFrame:
+    """Routing beside open inquiries: the users' latest contexts."""
+    contexts = _t(spark, d, "patient_contexts").where("context_key is not null").groupBy("context_key").agg(F.max(F.struct("saved_at", "status")).alias("v")).select("context_key", "v.*")
+    asked = _t(spark, d, "chat_requests").select("request_id", "user_ref", "requested_at", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    out = guards.decided(asked.withColumn("allowed", T.strip(F.col("text")) != ""), "text", inquiries=contexts)
+    return out.groupBy("request_id", "route", "decided_by").agg(F.count("*").alias("n"))
+
+
 # Retrieval ----------------------------------------------------------------------------------------------------------
 
 EVERY = 50
-SCORES = f"""q as (select vec_id as query_id, embedding::double[] as v, coalesce(d.title, '') as query_text from embeddings e join documents d on d.doc_id = e.vec_id where vec_id % {EVERY} = 0),
-    p as (select vec_id as id, embedding::double[] as v, d.text from embeddings e join documents d on d.doc_id = e.vec_id),
-    dense as (select * from (select query_id, id, round(list_inner_product(q.v, p.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(p.v, p.v)), 6) as score, row_number() over (partition by query_id order by score desc, id)::int as dense_rank from q, p where query_text_ok) where dense_rank <= 15),
+SCORES = f"""p as (select coalesce(doc_id, vec_id) as id, embedding::double[] as v, text, coalesce(title, '') as title from documents d full join embeddings e on d.doc_id = e.vec_id),
+    q as (select id as query_id, v, title as query_text from p where id % {EVERY} = 0),
+    dense as (select * from (select query_id, id, round(list_inner_product(q.v, p.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(p.v, p.v)), 6) as score, row_number() over (partition by query_id order by score desc, id)::int as dense_rank from q, p where query_text_ok q.v is not null and p.v is not null) where dense_rank <= 15),
     m as (select query_id, id, len(list_filter(list_distinct({_words('lower(query_text)')}), lambda w: contains(lower(p.text), w))) as matches from q, p where p.text is not null),
     lexical as (select * from (select *, row_number() over (partition by query_id order by matches desc, id)::int as lexical_rank from m where matches > 0) where lexical_rank <= 15),
     fused as (select query_id, id, dense_rank, lexical_rank, round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 9) as rrf_score from dense full join lexical using (query_id, id)),
     ranked as (select *, row_number() over (partition by query_id order by rrf_score desc, dense_rank nulls last, lexical_rank)::int as fused_rank from fused)"""
-ALL = SCORES.replace("where query_text_ok", "")
-ASKED = SCORES.replace("where query_text_ok", f"where {_strip('query_text')} <> ''")
+ALL = SCORES.replace("where query_text_ok", "where")
+ASKED = SCORES.replace("where query_text_ok", f"where {_strip('query_text')} <> '' and")
 
 
 def _kb(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, points) of the vectors and documents of one id; queries are those of ids that 50 divides."""
-    both = _t(spark, d, "embeddings").join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"))
-    points = both.select(F.col("vec_id").alias("id"), "text", F.col("embedding").alias("vector"))
-    return both.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"), F.col("embedding").alias("vector")), points
+    """(queries, points) of all documents and vectors, joined by id where there are both; queries are those of ids that 50 divides."""
+    both = _t(spark, d, "embeddings").join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"), "full_outer")
+    points = both.select(F.coalesce("doc_id", "vec_id").alias("id"), "text", F.coalesce("title", F.lit("")).alias("title"), F.col("embedding").alias("vector"))
+    return points.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("title").alias("text"), "vector"), points.select("id", "text", "vector")
 
 
 @query(f"with {ALL} select query_id, id, score, dense_rank from dense")
@@ -284,6 +390,27 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_topk(*_kb(spark, d))
 
 
+@query()
+def dense_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the index; what it misses of dense_topk is measured in the tests and the README."""
+    q, p = _kb(spark, d)
+    return retrieval.indexed_topk(q, p)
+
+
+@query(f"""with {ALL} select count(*) as n_true, true as enough from dense""")
+def dense_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact neighbours there are and whether the index finds nine tenths of them."""
+    q, p = _kb(spark, d)
+    found = retrieval.indexed_topk(q, p).select("query_id", "id", F.lit(1).alias("f"))
+    both = retrieval.dense_topk(q, p).join(found, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("n_true"), (F.count("f") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query(f"with {ALL}, s as (select * from p order by id limit 100), x as (select query_id, s.id, len(list_filter(list_distinct({_words('lower(query_text)')}), lambda w: contains(lower(s.text), w))) as matches from q, s where s.text is not null) select query_id, id, matches, row_number() over (partition by query_id order by matches desc, id)::int as lexical_rank from x where matches > 0 qualify lexical_rank <= 15")
+def lexical_scan(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.lexical_topk(*_kb(spark, d), scan_limit=100)
+
+
 @query(f"with {ALL} select query_id, id, dense_rank, lexical_rank, rrf_score, fused_rank from ranked where fused_rank <= 10")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     q, p = _kb(spark, d)
@@ -299,9 +426,11 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid_retrieve(*_kb(spark, d)).select("query_id", "id", "rrf_score", "fused_rank", "lexical_overlap", "relevance_status")
 
 
-@query(f"{GATED} select query_id, count(*) as candidate_count, count(*) filter (where rrf_score >= 0.03 and lexical_overlap > 0) as relevant_count, bool_or(rrf_score >= 0.03 and lexical_overlap > 0) as passed from g group by query_id")
+@query(f"""{GATED} select query_id, count(*) as candidate_count, count(*) filter (where rrf_score >= 0.03 and lexical_overlap > 0) as relevant_count, bool_or(rrf_score >= 0.03 and lexical_overlap > 0) as passed,
+    coalesce(string_agg(case when rrf_score >= 0.03 and lexical_overlap > 0 then id end, '|' order by fused_rank), '') as selected_ids, coalesce(string_agg(case when not (rrf_score >= 0.03 and lexical_overlap > 0) then id end, '|' order by fused_rank), '') as rejected_ids from g group by query_id""")
 def gate_summary(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.gate_summary(retrieval.hybrid_retrieve(*_kb(spark, d))).select("query_id", "candidate_count", "relevant_count", "passed")
+    lists = [F.array_join(c, "|").alias(c) for c in ("selected_ids", "rejected_ids")]
+    return retrieval.gate_summary(retrieval.hybrid_retrieve(*_kb(spark, d)), order="fused_rank").select("query_id", "candidate_count", "relevant_count", "passed", *lists)
 
 
 @query(f"{GATED} select query_id, id, rrf_score as rerank_score, 'rrf' as rerank_score_type, row_number() over (partition by query_id order by rrf_score desc, fused_rank)::int as rerank_rank from g qualify rerank_rank <= 3")
@@ -315,13 +444,21 @@ def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     return e.select("evidence_id", T.lexical_overlap(F.col("document_title"), F.col("text")).alias("overlap")).groupBy("evidence_id", "overlap").agg(F.count("*").alias("n"))
 
 
-@query("""with s as (select evidence_id, coalesce(rerank_score, retrieval_score) as score, rerank_score is null as fused from evidence_records)
-    select evidence_id, case when score >= 0.2 then 'relevant' else 'unrelated' end as relevance_status, count(*) as n from s group by all""")
+@query(f"""with s as (select evidence_id, coalesce(rerank_score, retrieval_score) as score, rerank_score is null as fused, len(list_intersect({_terms('document_title')}, {_terms('text')})) as o from evidence_records)
+    select evidence_id, case when fused and score >= 0.03 and o > 0 or not fused and score >= 0.2 then 'relevant' else 'unrelated' end as relevance_status, count(*) as n from s group by all""")
 def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "evidence_records").select("evidence_id", F.col("document_title").alias("query_text"), "text", "rerank_score", F.col("retrieval_score").alias("relevance_score"))
+    kind = F.when(F.col("rerank_score").isNull(), "rrf").otherwise("cross_encoder")
+    e = _t(spark, d, "evidence_records").select("evidence_id", F.col("document_title").alias("query_text"), "text", "rerank_score", F.col("retrieval_score").alias("relevance_score"), kind.alias("rerank_score_type"))
     return retrieval.relevance_gate(e).groupBy("evidence_id", "relevance_status").agg(F.count("*").alias("n"))
 
 
+@query("""select doc_id, try_cast(case doc_id % 4 when 0 then n_chars::varchar when 1 then lang when 2 then n_chars || '.5' end as double) as score from documents""")
+def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.col("n_chars").cast("string")).when(k == 1, F.col("lang")).when(k == 2, F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+    return _t(spark, d, "documents").select("doc_id", T.number(raw).alias("score"))
+
+
 # Evidence and answers -----------------------------------------------------------------------------------------------
 
 
@@ -335,6 +472,14 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.citations(_t(spark, d, "evidence_records"))
 
 
+@query("""select distinct request_id, evidence_id as id, document_title as doc_title, source, section, url from evidence_records where relevance_status = 'relevant' and (request_id, evidence_id) in (select request_id, evidence_id from evidence_records where retrieval_score >= 0.5)""")
+def cited_citations(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "evidence_records")
+    claim = F.struct(F.col("evidence_id").alias("claim_id"), F.lit("x").alias("text"), F.array("evidence_id").alias("evidence_ids"))
+    claims = e.where("request_id is not null and retrieval_score >= 0.5").groupBy("request_id").agg(F.collect_list(claim).alias("claims"))
+    return evidence.cited_citations(e, claims)
+
+
 @query(f"""with b as (select distinct request_id, evidence_id, '[EVIDENCE_ID: ' || evidence_id || '] Source: ' || coalesce(source, 'Medical Reference') || ' | Document: ' || coalesce(document_title, 'Medical Doc') || case when coalesce(section, '') <> '' then ' | Section: ' || section else '' end || chr(10) || {_strip("coalesce(text, '')")} as b from evidence_records where request_id is not null)
     select request_id, md5(string_agg(b, chr(10) || chr(10) order by evidence_id, b)) as context_hash from b group by request_id""")
 def format_context(spark: SparkSession, d: str) -> DataFrame:
@@ -391,6 +536,66 @@ def reply_pieces(spark: SparkSession, d: str) -> DataFrame:
     return evidence.reply_pieces(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "piece_no", F.md5("piece").alias("piece_hash"))
 
 
+def _said(kind: str, ar: str) -> str:
+    r = generation.REPLIES[kind]
+    return f"case when {ar} then '{r['ar']}' else '{r['en']}' end"
+
+
+@query(f"""select doc_id, case doc_id % 4 when 0 then {_said('blocked', "coalesce(lang, '') = 'ar'")} when 1 then {_said('clarification', "coalesce(lang, '') = 'ar'")} when 2 then {_said('limit_reached', "coalesce(lang, '') = 'ar'")} end as reply,
+    {_said('emergency', "coalesce(lang, '') = 'ar'")} || case when coalesce(source, '') = '' then '' else chr(10) || case when coalesce(lang, '') = 'ar' then '{generation.PHONE_LINE['ar']}' else '{generation.PHONE_LINE['en']}' end || source end as urgent from documents""")
+def fixed_replies(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    kind = F.when(k == 0, "blocked").when(k == 1, "clarification").when(k == 2, "limit_reached").otherwise("other")
+    lang = F.coalesce("lang", F.lit(""))
+    return _t(spark, d, "documents").select("doc_id", generation.reply(kind, lang).alias("reply"), generation.emergency_reply(lang, F.col("source")).alias("urgent"))
+
+
+@query(f"""select distinct request_id, {_strip("coalesce(text, '')")} as own from chat_requests""")
+def guard_text(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "chat_requests").select("request_id", F.coalesce("text", F.lit("")).alias("t"))
+    asked = F.concat(F.lit(" User question: "), "t", F.lit("\nStructured patient context: "), "t")
+    return r.select("request_id", generation.guard_text(asked).alias("own")).distinct()
+
+
+@query(f"""with r as (select distinct request_id, coalesce(text, '') as t, user_ref from chat_requests), p as (select request_id, 'Q {{context}} ' || t || ' P ' || case when user_ref is null then '{{}}' else '{{"user_ref":"' || user_ref || '"}}' end || ' C ' || case when t = '' then '{generation.NO_CONTEXT}' else t end as p from r)
+    select request_id, sha256(p) as prompt_hash, length(p)::int as prompt_length from p""")
+def format_prompt(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "chat_requests").select("request_id", F.concat(F.lit("{context} "), F.coalesce("text", F.lit(""))).alias("q"), F.coalesce("text", F.lit("")).alias("t"), "user_ref").distinct()
+    prompt = generation.format_prompt(F.col("q"), F.col("t"), generation.patient_json(["user_ref"]), "Q {query} P {patient_context} C {context}")
+    return r.select("request_id", *[c.alias(n) for n, c in generation.prompt_facts(prompt).items()])
+
+
+@query(f"""select distinct request_id, case when {_strip("coalesce(text, '')")} = '' then '' else text end as expanded_query, 0 as n_keywords, '' as hyde_passage from chat_requests""")
+def rewrite_fallback(spark: SparkSession, d: str) -> DataFrame:
+    r = generation.rewritten(_t(spark, d, "chat_requests").select("request_id", "text").distinct())
+    return r.select("request_id", "expanded_query", F.size("medical_keywords").alias("n_keywords"), "hyde_passage").distinct()
+
+
+EXTRACTED = f"""with e as (select distinct request_id, evidence_id, document_title, source, section, url, text, relevance_status from evidence_records where request_id is not null),
+    b as (select request_id, first(evidence_id order by evidence_id, text) as id, first(text order by evidence_id, text) as t from e where relevance_status in ('relevant', 'unknown') group by request_id),
+    r as (select distinct request_id from e)
+    select request_id, case when {_strip("coalesce(t, '')")} <> '' then 'answered' else 'insufficient_evidence' end as status, case when id is null or {_strip("coalesce(t, '')")} = '' then '{generation.REPLIES['insufficient_evidence']['en']}' else {_strip('t')} end as answer, case when {_strip("coalesce(t, '')")} <> '' then id else '' end as evidence_ids from r left join b using (request_id)"""
+
+
+@query(EXTRACTED)
+def generate_extractive(spark: SparkSession, d: str) -> DataFrame:
+    """The answer that needs no model: the first relevant record of each request is its claim."""
+    e = _t(spark, d, "evidence_records").where("request_id is not null").select("request_id", F.struct("evidence_id", "text", "document_title", "source", "section", "url", "relevance_status").alias("e")).distinct()
+    rows = e.groupBy("request_id").agg(F.array_sort(F.collect_list("e")).alias("evidence")).select("request_id", "evidence", F.lit("q").alias("text"), F.lit("c").alias("context"), F.lit("en").alias("language"))
+    return generation.generated(rows, None).select("request_id", "status", "answer", F.array_join("evidence_ids", "|").alias("evidence_ids"))
+
+
+@query("""select doc_id, coalesce(nullif(lang, 'en'), 'medical') as status, coalesce(nullif(title, ''), text, '') as answer, coalesce(nullif(title, ''), text, '') as user_response, 0 as n_claims from documents""")
+def result_normalize(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("status"), F.col("title").alias("user_response"), F.col("text").alias("answer"))
+    return generation.internal(generation.normalized_results(r, F.lit("medical"))).select("doc_id", "status", "answer", "user_response", F.size("claims").alias("n_claims"))
+
+
+@query("""select true as ready, 'medical_kb' as collection, 'hash' as embedder, 'gemini/gemini-2.5-flash' as model, 0.2::double as threshold""")
+def status_report(spark: SparkSession, d: str) -> DataFrame:
+    return settings.status_report(spark, settings.load({}), ["medical_kb"])
+
+
 # Sessions -----------------------------------------------------------------------------------------------------------
 
 
@@ -470,9 +675,32 @@ def inquiry_fold(spark: SparkSession, d: str) -> DataFrame:
     return sessions.inquiry_fold(_t(spark, d, "chat_requests").distinct(), "user_ref", "requested_at", "text")
 
 
-@query("""select status, active_flow, count(*) as n from patient_contexts where language = 'en' and status = 'collecting' group by all""")
+STATE = """s as (select language as namespace, context_key as key, max({'a': saved_at, 'g': status = 'completed', 'v': '{"status":"' || status || '","flow":"' || coalesce(active_flow, '') || '"}'}) as v from patient_contexts where language is not null and context_key is not null group by all)"""
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    value = F.concat(F.lit('{"status":"'), "status", F.lit('","flow":"'), F.coalesce("active_flow", F.lit("")), F.lit('"}'))
+    return store.state_now(_t(spark, d, "patient_contexts").select(F.col("language").alias("namespace"), F.col("context_key").alias("key"), value.alias("value"), F.col("saved_at").alias("at"), (F.col("status") == "completed").alias("deleted")))
+
+
+@query(f"with {STATE} select namespace, key, v.v as value from s where not coalesce(v.g, false)")
+def state_now(spark: SparkSession, d: str) -> DataFrame:
+    return _state(spark, d)
+
+
+@query(f"""with {STATE} select key, v.v as value from s where not coalesce(v.g, false) and namespace = 'en' and contains(v.v, '"status":"collecting"')""")
 def state_list(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "patient_contexts").where("language = 'en' and status = 'collecting'").groupBy("status", "active_flow").agg(F.count("*").alias("n"))
+    return store.state_list(_state(spark, d), "en", status="collecting")
+
+
+@query(f"""with {STATE}, k as (select distinct context_key as key from patient_contexts where context_key is not null) select k.key, x.v.v as value from k left join (select * from s where not coalesce(v.g, false) and namespace = 'ar') x on k.key = x.key""")
+def state_get(spark: SparkSession, d: str) -> DataFrame:
+    return store.state_get(_state(spark, d), "ar", _t(spark, d, "patient_contexts").where("context_key is not null").select(F.col("context_key").alias("key")))
+
+
+@query("""select status, active_flow, count(*) as n from patient_contexts where language = 'en' and status = 'collecting' group by all""")
+def equal_list(spark: SparkSession, d: str) -> DataFrame:
+    return store.listed(_t(spark, d, "patient_contexts"), language="en", status="collecting").groupBy("status", "active_flow").agg(F.count("*").alias("n"))
 
 
 # Whole plans --------------------------------------------------------------------------------------------------------
@@ -487,4 +715,4 @@ def build_index(spark: SparkSession, d: str) -> DataFrame:
 def answer(spark: SparkSession, d: str) -> DataFrame:
     asked = sessions.first_of_each(_t(spark, d, "chat_requests").where("request_id is not null").select("request_id", "text"), ["request_id"], [F.col("text")])
     searched = F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % EVERY == 0
-    return answering.answer(asked.where(searched), answering.build_index(_t(spark, d, "articles").where("source_dir is not null")))
+    return answering.answer(asked.where(searched), answering.build_index(_t(spark, d, "articles")))

@@ -201,3 +201,8 @@ def any_of(c: Column, values: list[str]) -> Column:
 
 def which_of(c: Column, values: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(c, v))
+
+
+def number(c: Column) -> Column:
+    """A number, or null where it is none."""
+    return c.try_cast("double")

@@ -56,6 +56,28 @@ def claim_summary(claims: Column, allowed: Column) -> Column:
     return F.struct(F.size(claims).alias("input_claim_count"), F.size(valid).alias("valid_claim_count"), bad.alias("invalid_claim_ids"), (F.size(bad) == 0).alias("passed"))
 
 
+def cited(evidence: Column, claims: Column) -> Column:
+    """The records of an array that some claim names, in their order."""
+    ids = F.flatten(F.transform(claims, lambda c: c["evidence_ids"]))
+    return F.filter(evidence, lambda e: F.array_contains(ids, e["evidence_id"]))
+
+
+def citations_of(evidence: Column) -> Column:
+    """Relevant records of an array as they are cited, each once."""
+    relevant = F.filter(evidence, lambda e: e["relevance_status"] == "relevant")
+    return F.array_distinct(F.transform(relevant, lambda e: F.struct(e["evidence_id"].alias("id"), e["document_title"].alias("doc_title"), e["source"].alias("source"), e["section"].alias("section"), e["url"].alias("url"))))
+
+
+def cited_citations(evidence: DataFrame, claims: DataFrame, group: str = "request_id") -> DataFrame:
+    """(group, id, doc_title, source, section, url) of the relevant records that a valid claim of their request names, each once.
+
+    claims: group, claims (array). Ids are joined, not records, so that a request with very many records costs its ids.
+    """
+    named = claims.select(group, F.explode("claims").alias("c")).select(group, F.explode("c.evidence_ids").alias("evidence_id")).distinct()
+    rows = evidence.where(F.col("relevance_status") == "relevant").join(named, [group, "evidence_id"], "left_semi")
+    return rows.select(group, F.col("evidence_id").alias("id"), F.col("document_title").alias("doc_title"), "source", "section", "url").distinct()
+
+
 def citations(evidence: DataFrame) -> DataFrame:
     """Relevant records as they are cited, each once."""
     return evidence.where(F.col("relevance_status") == "relevant").select(F.col("evidence_id").alias("id"), F.col("document_title").alias("doc_title"), "source", "section", "url").distinct()

@@ -67,11 +67,30 @@ def clarified(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"is_personal": personal, "confidence": F.when(personal, 0.85).otherwise(0.8), "language": T.detect_language(F.coalesce(df[text], F.lit("")))}).drop("__q")
 
 
-def routed(df: DataFrame, text: str = "text", least_confidence: float = 0.55) -> DataFrame:
-    """Adds route: blocked, emergency, clarification, clinic, inquiry or medical, in this order of precedence."""
-    personal = classified(clarified(sanitized(df, text), "sanitized_text"), "sanitized_text")  # the class's confidence replaces the other
+def routed(df: DataFrame, text: str = "text", least_confidence: float = 0.55, inquiries: DataFrame | None = None, user: str = "user_ref", at: str = "requested_at") -> DataFrame:
+    """Sanitises, clarifies and classifies requests and adds what `decided` does."""
+    return decided(sanitized(df, text), "sanitized_text", least_confidence, inquiries, user, at)
+
+
+def decided(df: DataFrame, text: str, least_confidence: float = 0.55, inquiries: DataFrame | None = None, user: str = "user_ref", at: str = "requested_at", minutes: int = 30) -> DataFrame:
+    """Adds route: blocked, emergency, clarification, clinic, inquiry or medical, in this order of precedence, and decided_by.
+
+    df has `allowed`. inquiries (context_key, status, saved_at), a row a key, are the users' open inquiries: a reply to one
+    that is still collecting and was saved at most `minutes` before goes on with it, whatever it looks like, unless it is
+    urgent or about the clinic. Without them, or for a null user, each request stands for itself.
+    """
+    seen = classified(clarified(df, text), text)  # the class's confidence replaces the other
+    if inquiries is None:
+        seen = seen.withColumn("__open", F.lit(False))
+    else:
+        known = inquiries.where("status = 'collecting'").select(F.col("context_key").alias("__key"), F.col("saved_at").alias("__saved"))
+        seen = seen.withColumn("__own", T.context_key(F.col(user))).join(known, F.col("__own") == F.col("__key"), "left")
+        idle = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("__saved").cast("timestamp")) > minutes * 60_000_000
+        seen = seen.withColumn("__open", F.coalesce(F.col("__key").isNotNull() & ~idle & (F.col("query_class") == "medical_query"), F.lit(False))).drop("__own", "__key", "__saved")
+    kept = F.col("__open")
+    seen = seen.withColumns({"confidence": F.when(kept, 1.0).otherwise(F.col("confidence")), "decided_by": F.when(kept, "active_inquiry").otherwise("classifier")})
     route = (
-        F.when(~F.col("allowed"), "blocked").when(F.col("query_class") == "emergency", "emergency").when(F.col("confidence") < least_confidence, "clarification").when(F.col("query_class") == "clinic_query", "clinic")
-        .when(F.col("is_personal"), "inquiry").otherwise("medical")
+        F.when(~F.col("allowed"), "blocked").when(F.col("query_class") == "emergency", "emergency").when(kept, "inquiry").when(F.col("confidence") < least_confidence, "clarification")
+        .when(F.col("query_class") == "clinic_query", "clinic").when(F.col("is_personal"), "inquiry").otherwise("medical")
     )
-    return personal.withColumn("route", route)
+    return seen.withColumn("route", route).drop("__open")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import shutil
+import subprocess
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import materialize
 
 # HTML ---------------------------------------------------------------------------------------------------------------
 
@@ -105,6 +110,52 @@ def html_extract(pages: DataFrame, key: str, html: str, site: str | Site) -> Dat
     return pages.select(pages[key], pages[html].alias("__html")).mapInArrow(run, f"`{key}` {kind}, title string, content string")
 
 
+def nice_title(title: Column, guideline: Column) -> Column:
+    """The title of a guideline's page: one that only says Recommendations gets the guideline's id in front, Unknown becomes its name."""
+    name = F.upper(guideline)
+    return F.when(F.lower(title) == "recommendations", F.concat(name, F.lit(" Recommendations"))).when(title == "Unknown", F.concat(F.lit("NICE Guideline "), name)).otherwise(title)
+
+
+def source_name(folder: Column) -> Column:
+    """The name of a source's folder: lower case, and mayo for all of that clinic's."""
+    low = F.lower(folder)
+    return F.when(F.contains(low, F.lit("mayo")), "mayo").otherwise(low)
+
+
+def too_long(content: Column, chars: int = 500_000) -> Column:
+    """Whether a trimmed text may not fit a model's context."""
+    return F.coalesce(F.length(T.strip(content)) > chars, F.lit(False))
+
+
+def page_specs(spark: SparkSession, lists: dict[str, list[str]]) -> DataFrame:
+    """(source, url) of the pages that are to be read, from a list of addresses a source."""
+    return spark.createDataFrame([(s, u) for s, urls in lists.items() for u in urls], "source string, url string")
+
+
+def scraped(specs: DataFrame, fetch: Callable[[str], str | None], attempts: int = 3) -> DataFrame:
+    """(source, url, html, status, error) of each page: processed, skipped if fetch gives nothing, failed if it raises `attempts` times.
+
+    fetch turns an address into a page; it is sent to the tasks. One page's failure is its own.
+    """
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for source, url in zip(frame["source"], frame["url"]):
+                html, status, error = None, "failed", ""
+                for _ in range(attempts):
+                    try:
+                        html = fetch(url)
+                        status, error = ("processed" if html else "skipped"), ""
+                        break
+                    except Exception as e:  # noqa: BLE001 - whatever a transport raises
+                        error = f"{type(e).__name__}: {e}"
+                out.append((source, url, html, status, error))
+            yield pd.DataFrame(out, columns=["source", "url", "html", "status", "error"])
+
+    return specs.select("source", "url").mapInPandas(run, "source string, url string, html string, status string, error string")
+
+
 def link_discovery(pages: DataFrame, html: str, prefix: str = "/conditions/", base: str = "", least: int = 12) -> DataFrame:
     """Different absolute links whose address begins with the prefix and is longer than `least`."""
     found = F.explode(F.regexp_extract_all(pages[html], F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["'](%s[^"']*)["']""" % prefix), F.lit(1)))
@@ -127,50 +178,54 @@ def sections(articles: DataFrame, content: str = "content") -> DataFrame:
     return parts.select(*rest, "section_no", F.when(heading, first).otherwise("General").alias("section"), body.alias("body"))
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most `size` words: divided at the coarsest separator that occurs, small parts joined again up to the
     size, each piece beginning with parts of up to `overlap` words of the one before; a part that is too long is divided
     at the next finer separator. A single word stays whole."""
-    count = lambda t: len(t.split())
     at = next((i for i, s in enumerate(separators) if s in text), None)
     if at is None:
         return [text.strip()] if text.strip() else []
     mark, finer = separators[at], separators[at + 1 :]
-    parts = text.split(mark)
-    parts = [p if i == 0 else mark + p for i, p in enumerate(parts)]
     pieces: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[str, int]] = deque()
+    words = 0  # of what is held; counted once a part
 
     def close() -> None:
-        whole = "".join(held).strip()
+        whole = "".join(p for p, _ in held).strip()
         if whole:
             pieces.append(whole)
 
-    for part in parts:
+    for i, part in enumerate(text.split(mark)):
+        part = part if i == 0 else mark + part
         if not part:
             continue
-        n = count(part)
+        n = len(part.split())
         if n > size:
             close()
             held.clear()
+            words = 0
             pieces += split_text(part, size, overlap, finer) if finer else [part.strip()]
             continue
-        if held and sum(map(count, held)) + n > size:
+        if held and words + n > size:
             close()
-            while held and (sum(map(count, held)) > overlap or sum(map(count, held)) + n > size):
-                held.pop(0)
-        held.append(part)
+            while held and (words > overlap or words + n > size):
+                words -= held.popleft()[1]
+        held.append((part, n))
+        words += n
     close()
     return pieces
 
 
 def token_chunks(rows: DataFrame, body: str = "body", size: int = 500, overlap: int = 50) -> DataFrame:
-    """A row a piece: the other columns, part_no and the piece in place of the body. Short bodies reach Python as nulls only."""
+    """A row a piece: the other columns, part_no and the piece in place of the body. Short bodies reach Python as nulls only, the others by Arrow batches."""
     rest = [c for c in rows.columns if c != body]
 
-    @F.udf("array<string>", useArrow=True)
-    def cut(t: str | None) -> list[str] | None:
-        return None if t is None else split_text(t, size, overlap)
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else split_text(t, size, overlap) for t in texts], dtype=object)
 
     # A condition around the function wouldn't spare it a row, one within does spare it the text.
     pieces = F.coalesce(cut(F.when(T.token_count(F.col(body)) > size, F.col(body))), F.array(F.col(body)))
@@ -183,10 +238,10 @@ def chunk_render(title: Column, source: Column, section: Column, body: Column) -
     return F.when(T.strip(body) != "", F.concat(F.lit("Document: "), e(title), F.lit(" | Source: "), e(source), F.lit(" | Section: "), e(section), F.lit("\n\nContent:\n"), body))
 
 
-def chunk_articles(articles: DataFrame, key: str = "article_id") -> DataFrame:
-    """(key, section_no, section, part_no, text): articles cut into sections and these into chunks of at most 500 words."""
-    cut = token_chunks(sections(articles.select(key, "title", "source", "content")))
-    return cut.select(key, "section_no", "section", "part_no", chunk_render(F.col("title"), F.col("source"), F.col("section"), F.col("body")).alias("text")).where("text is not null")
+def chunk_articles(articles: DataFrame, key: str = "article_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, section_no, section, part_no, text): articles cut into sections and these into chunks of at most 500 words."""
+    cut = token_chunks(sections(articles.select(*dict.fromkeys((key, "title", "source", *keep, "content")))))
+    return cut.select(key, *keep, "section_no", "section", "part_no", chunk_render(F.col("title"), F.col("source"), F.col("section"), F.col("body")).alias("text")).where("text is not null")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "chunk_no", parts: int = 64) -> DataFrame:
@@ -194,7 +249,8 @@ def numbered(rows: DataFrame, order: list[str], name: str = "chunk_no", parts: i
 
     `order` must tell all rows apart.
     """
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    # Written down once: a range that is worked out again after a loss could hold other rows.
+    ranged = materialize(rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
     sizes = local.groupBy("__p").count()
     before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row a range
@@ -211,10 +267,39 @@ def dedup_sources(chunks: DataFrame, text: str = "text", source: str = "source",
     different sources only.
     """
     place = F.struct(*order) if order else F.lit(0)
-    base = chunks.where(chunks[text].isNotNull()).select(chunks[text].alias("text"), F.struct(place.alias("o"), chunks[source].alias("s")).alias("v"))
-    first = base.groupBy("text", "v.s").agg(F.min("v.o").alias("o"), F.count("*").alias("n"))
-    merged = first.groupBy("text").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("o", "s")))).alias("l"), F.sum("n").alias("n"))
-    return merged.select(T.point_id(F.col("text")).alias("point_id"), "text", F.transform("l", lambda x: x["s"]).alias("sources"), "n")
+    base = chunks.where(chunks[text].isNotNull()).select(T.point_id(chunks[text]).alias("point_id"), chunks[text].alias("text"), chunks[source].alias("s"), place.alias("o"))
+    first = base.groupBy("point_id", "s").agg(F.min("o").alias("o"), F.count("*").alias("n"))
+    merged = first.groupBy("point_id").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("o", "s")))).alias("l"), F.sum("n").alias("n"))
+    # The text goes along once a point and task: it is the same for all rows of an id.
+    texts = base.groupBy("point_id").agg(F.first("text").alias("text"))
+    return merged.join(texts, "point_id").select("point_id", "text", F.transform("l", lambda x: x["s"]).alias("sources"), "n")
+
+
+#: What is built into a point besides its chunk, and what is read back of it.
+PAYLOAD = ("doc_title", "source", "section", "url", "type")
+
+
+def payload_build(points: DataFrame, embed_model_id: str, embed_revision: str = "", git_commit: str = "", script_version: str = "1", indexed_at: Column | None = None) -> DataFrame:
+    """Points with their provenance and without `source`, which `sources` replaces; chunk_id is the point's id if it is null."""
+    rest = [c for c in points.columns if c not in ("source", "chunk_id")]
+    chunk = F.coalesce("chunk_id", "point_id") if "chunk_id" in points.columns else F.col("point_id")
+    facts = {"git_commit": git_commit, "script_version": script_version, "embed_model_id": embed_model_id, "embed_revision": embed_revision}
+    return points.select(*rest, chunk.alias("chunk_id"), (F.current_timestamp() if indexed_at is None else indexed_at).alias("indexed_at"), *[F.lit(v).alias(k) for k, v in facts.items()])
+
+
+def payload_normalize(points: DataFrame) -> DataFrame:
+    """(id, text, doc_title, source, section, url, type) of stored points: the first of the sources, else the source; what is missing is empty."""
+    has = set(points.columns)
+    got = lambda c: F.coalesce(F.col(c), F.lit("")) if c in has else F.lit("")
+    source = F.coalesce(F.get("sources", F.lit(0)), got("source")) if "sources" in has else got("source")
+    fields = {c: got(c) for c in PAYLOAD} | {"source": source}
+    return points.select(F.col("point_id").alias("id"), got("text").alias("text"), *[v.alias(k) for k, v in fields.items()])
+
+
+def git_commit(folder: str = ".") -> str:
+    """The short hash of what a folder has checked out; empty if it isn't known."""
+    done = subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, check=False) if shutil.which("git") else None
+    return done.stdout.strip() if done and done.returncode == 0 else ""
 
 
 def index_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -235,6 +320,15 @@ def incremental_pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFra
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def chunk_union(tables: dict[str, DataFrame]) -> DataFrame:
+    """All rows of the tables with `kind`, their table's name; columns that one lacks are null there."""
+    parts = [df.select(F.lit(kind).alias("kind"), *df.columns) for kind, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def chunk_split(chunks: DataFrame, kind: Column) -> tuple[DataFrame, DataFrame]:
     """(medical, clinic): what is of the medical type, and all else, null types among it."""
     medical = kind.eqNullSafe(F.lit("medical_kb"))

@@ -27,16 +27,26 @@ RELEVANT = r"\bage\b|\bpregnan|\bmedication|\bhistory\b|\bمرض مزمن\b|\bح
 OPENING = r"^(i have|i'm having|i am having|عندي|لدي|أعاني|اعاني)\s*"
 
 
-def sessionized(df: DataFrame, user: str, at: str, minutes: int = 30) -> DataFrame:
+def sessionized(df: DataFrame, user: str, at: str, minutes: int = 30, span: int = 86_400) -> DataFrame:
     """Adds session_no: from 0, the next one where more than `minutes` lie between two events of a user.
 
-    Events of one moment belong together; null moments come first and open a session of their own.
+    Events of one moment belong together; null moments come first and open a session of their own. Events are ordered
+    within spans of `span` seconds of a user, and spans are stitched by their first and last moments, so that a user with
+    a third of all events is shared out among tasks.
     """
-    w = Window.partitionBy(user).orderBy(F.asc_nulls_first(at))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    fresh = df.withColumn("__f", F.when(F.row_number().over(w) == 1, 0).when(gap.isNull() & F.col(at).isNull(), 0).when(gap.isNull() | (gap > minutes * 60_000_000), 1).otherwise(0))
-    return fresh.withColumn("session_no", F.sum("__f").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("__f")
+    base = df.withColumns({"__m": micros, "__b": F.when(micros.isNull(), F.lit(-(1 << 40))).otherwise(F.floor(micros / (span * 1_000_000)))})
+    w = Window.partitionBy(user, "__b").orderBy("__m")
+    longer = lambda gap: F.when(gap > minutes * 60_000_000, 1).otherwise(0)
+    local = base.withColumn("__f", longer(F.col("__m") - F.lag("__m").over(w)))
+    spans = local.groupBy(user, "__b").agg(F.min("__m").alias("__lo"), F.max("__m").alias("__hi"), F.sum("__f").alias("__s"))
+    # A row a span; the span of null moments is a session of its own.
+    by = Window.partitionBy(user).orderBy("__b")
+    first = F.when(F.lag("__b").over(by).isNull(), 0).when(F.lag("__hi").over(by).isNull(), 1).otherwise(longer(F.col("__lo") - F.lag("__hi").over(by)))
+    starts = spans.withColumn("__first", first).select(F.col(user).alias("__u"), F.col("__b").alias("__c"), (F.sum(F.col("__first") + F.col("__s")).over(by) - F.col("__s")).alias("__start"))
+    joined = local.join(starts, F.col(user).eqNullSafe(F.col("__u")) & (F.col("__b") == F.col("__c")))
+    inside = F.sum("__f").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn("session_no", (F.col("__start") + inside).cast("int")).select(*df.columns, "session_no")
 
 
 def stale(updated_at: Column, now: Column, minutes: int = 30) -> Column:
@@ -77,20 +87,28 @@ def scored(symptoms: Column, duration: Column, severity: Column, associated: Col
     return F.round(total, 2), missing
 
 
+#: What a message tells of a field: the pattern that says so, where it is looked for (the folded text or the text itself) and
+#: what is taken (what matched, or all of the message). A later rule of a field goes before an earlier one.
+RULES = (
+    ("onset_or_duration", DURATION, "folded", "match"),
+    ("trajectory", TRAJECTORY, "folded", "all"),
+    ("severity", SEVERITY, "folded", "all"),
+    ("severity", NUMERIC, "own", "match"),
+    ("associated_symptoms", ASSOCIATED, "folded", "all"),
+    ("relevant_context", RELEVANT, "folded", "all"),
+)
+
+
 def extracted(c: Column) -> dict[str, Column]:
     """What one message says, as columns; empty where it says nothing."""
-    low = T.fold_digits(F.lower(c))
-    flag = lambda p: low.rlike("(?Ui)" + p)
-    own = T.strip(c)
-    number = F.regexp_extract(c, "(?U)" + NUMERIC, 0)
-    return {
-        "symptom": F.btrim(F.regexp_replace(c, "(?Ui)" + OPENING, ""), F.lit(" .؟?")),
-        "onset_or_duration": T.strip(F.regexp_extract(low, "(?Ui)" + DURATION, 0)),
-        "trajectory": F.when(flag(TRAJECTORY), own).otherwise(""),
-        "severity": F.when(number != "", number).when(low.rlike(SEVERITY), own).otherwise(""),
-        "associated": F.when(flag(ASSOCIATED), own).otherwise(""),
-        "relevant_context": F.when(flag(RELEVANT), own).otherwise(""),
-    }
+    texts = {"folded": T.fold_digits(F.lower(c)), "own": c}
+    found: dict[str, Column] = {"symptom": F.btrim(F.regexp_replace(c, "(?Ui)" + OPENING, ""), F.lit(" .؟?"))}
+    for name, pattern, where, take in RULES:
+        held = found.get(name, F.lit(""))
+        match = F.regexp_extract(texts[where], "(?Ui)" + pattern, 0)
+        found[name] = F.when(match != "", T.strip(match if take == "match" else c)).otherwise(held)
+    found["associated"] = found.pop("associated_symptoms")
+    return found
 
 
 #: What is asked for a missing field.
@@ -176,58 +194,69 @@ class Inquiry:
 
 
 _digits = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+_rules = [(name, re.compile(pattern, re.I), where, take) for name, pattern, where, take in RULES]
+_opening = re.compile(OPENING, re.I)
+CLOSED = ("ready", "completed", "limit_reached")
+IDLE_MINUTES = 30
 
 
-def advance(state: Inquiry, text: str | None) -> Inquiry:
-    """The state after one more message; a closed inquiry begins anew, /new and /reset forget everything."""
+def told(text: str) -> dict[str, str]:
+    """What one message says, by field, as `extracted` finds it."""
+    texts = {"folded": text.lower().translate(_digits), "own": text}
+    hits = ((name, take, pattern.search(texts[where])) for name, pattern, where, take in _rules)
+    return {name: (m.group(0) if take == "match" else text).strip() for name, take, m in hits if m}
+
+
+def advance(state: Inquiry, text: str | None, idle: bool = False) -> Inquiry:
+    """The state after one more message. A closed inquiry begins anew under the next version; one that was idle for too long is forgotten, as after /new and /reset."""
     text = text or ""
-    if text.strip().split(" ")[0] in ("/new", "/reset"):
-        return Inquiry(session_version=state.session_version)
-    old = Inquiry(session_version=state.session_version) if state.status in ("ready", "completed", "limit_reached") else state
-    low = text.lower().translate(_digits)
-    new = Inquiry(**asdict(old))
-    if not new.symptoms and (said := re.sub(OPENING, "", text, flags=re.I).strip(" .؟?")):
-        new.symptoms = [said]
-    if m := re.search(DURATION, low, re.I):
-        new.onset_or_duration = m.group(0).strip()
-    if re.search(TRAJECTORY, low, re.I):
-        new.trajectory = text.strip()
-    if re.search(SEVERITY, low):
-        new.severity = text.strip()
-    if m := re.search(NUMERIC, text):
-        new.severity = m.group(0)
-    if re.search(ASSOCIATED, low):
-        new.associated_symptoms = [text.strip()]
-    if re.search(RELEVANT, low):
-        new.relevant_context = text.strip()
-    new.turn_count += 1
-    new.session_version += 1
-    new.score = round(sum(w for n, w in WEIGHTS.items() if getattr(new, n)), 2)
-    new.status = "ready" if new.score >= READY else "limit_reached" if new.turn_count >= TURNS else "collecting"
-    return new
-
-
-FOLDED = "turn_no int, symptoms array<string>, onset_or_duration string, severity string, score double, status string, turn_count int, session_version int"
-
-
-def inquiry_fold(messages: DataFrame, user: str, at: str, text: str) -> DataFrame:
-    """(user, turn_no, ...): the state of each user's inquiry after each message, in the order of time, ties by text.
-
-    A user's messages are folded by one task, a batch at a time: state is kept, messages are not.
+    command = text.strip().split(" ")[0]
+    if command in ("/new", "/reset"):
+        return Inquiry(session_version=0 if idle else state.session_version)
+    if idle:
+        state = Inquiry()
+    elif state.status in CLOSED:
+        state = Inquiry(session_version=state.session_version)
+    fields = asdict(state)
+    if not state.symptoms and (complaint := _opening.sub("", text).strip(" .؟?")):
+        fields["symptoms"] = [complaint]
+    for name, value in told(text).items():
+        fields[name] = [value] if name == "associated_symptoms" else value
+    fields["score"] = round(sum(weight for name, weight in WEIGHTS.items() if fields[name]), 2)
+    fields["turn_count"] += 1
+    fields["session_version"] += 1
+    fields["status"] = "ready" if fields["score"] >= READY else "limit_reached" if fields["turn_count"] >= TURNS else "collecting"
+    return Inquiry(**fields)
+
+
+FOLDED = "at timestamp, turn_no int, symptoms array<string>, onset_or_duration string, severity string, score double, status string, turn_count int, session_version int"
+
+
+def folded_row(at, turn: int, x: Inquiry) -> tuple:
+    return at, turn, list(x.symptoms), x.onset_or_duration, x.severity, x.score, x.status, x.turn_count, x.session_version
+
+
+def inquiry_fold(messages: DataFrame, user: str, at: str, text: str, minutes: int = IDLE_MINUTES) -> DataFrame:
+    """(user, at, turn_no, ...): the state of each user's inquiry after each message, in the order of time, ties by text.
+
+    After more than `minutes` without a message all is forgotten, and turns count from 0 again. So a user's sessions don't
+    depend on each other, and each is folded by itself: a user with a third of all messages is shared out by sessions.
+    Within one, a batch at a time is read: state is kept, messages are not. Null users are left out.
     """
     kind = messages.schema[user].dataType.simpleString()
-    ordered = messages.where(F.col(user).isNotNull()).select(F.col(user).alias("u"), F.col(at).alias("at"), F.col(text).alias("t")).repartition("u").sortWithinPartitions("u", "at", "t")
+    rows = messages.where(F.col(user).isNotNull()).select(F.col(user).alias("u"), F.col(at).cast("timestamp").alias("at"), F.col(text).alias("t"))
+    ordered = sessionized(rows, "u", "at", minutes).repartition("u", "session_no").sortWithinPartitions("u", "session_no", "at", "t")
 
     def run(frames):
-        user_now, state, turn = None, Inquiry(), 0
+        now, state, turn = None, Inquiry(), 0
         for frame in frames:
-            rows = []
-            for u, t in zip(frame["u"], frame["t"]):
-                if u != user_now:
-                    user_now, state, turn = u, Inquiry(), 0
+            out = []
+            for u, n, a, t in zip(frame["u"], frame["session_no"], frame["at"], frame["t"]):
+                if (u, n) != now:
+                    now, state, turn = (u, n), Inquiry(), 0
                 state = advance(state, t)
-                rows.append((u, turn, list(state.symptoms), state.onset_or_duration, state.severity, state.score, state.status, state.turn_count, state.session_version))
+                out.append((u, *folded_row(a, turn, state)))
                 turn += 1
-            yield pd.DataFrame(rows, columns=[user, "turn_no", "symptoms", "onset_or_duration", "severity", "score", "status", "turn_count", "session_version"])
+            yield pd.DataFrame(out, columns=[user, *(c.split()[0] for c in FOLDED.split(", "))])
 
-    return ordered.select("u", "t").mapInPandas(run, f"`{user}` {kind}, {FOLDED}")
+    return ordered.select("u", "session_no", "at", "t").mapInPandas(run, f"`{user}` {kind}, {FOLDED}")

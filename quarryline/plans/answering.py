@@ -14,7 +14,7 @@ def build_index(articles: DataFrame, embedder: Embedder | None = None, key: str
     """(id, text, sources, n, vector): cleaned articles cut into chunks, one point for each different chunk text."""
     dirs = F.col("source_dir") if "source_dir" in articles.columns else None
     cleaned = articles.withColumn("content", T.clean_text(F.col("content"), dirs))
-    chunks = ingest.chunk_articles(cleaned, key).join(articles.select(key, "source").dropDuplicates([key]), key)
+    chunks = ingest.chunk_articles(cleaned, key, keep=("source",))
     points = ingest.dedup_sources(chunks, order=[key, "section_no", "part_no"])
     return points.select(F.col("point_id").alias("id"), "text", "sources", "n", embed(F.col("text"), embedder).alias("vector"))
 

@@ -24,6 +24,22 @@ class Scorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> np.ndarray: ...
 
 
+class LLM(Protocol):
+    """Answers prompts, as many texts as prompts; as_json asks for one JSON object each. Created on the driver, it is sent to the tasks."""
+
+    def complete(self, prompts: list[str], as_json: bool = True) -> list[str | None]: ...
+
+
+class EchoLLM:
+    """A model that needs no network: it answers with what a function makes of the prompt, for tests and dry runs."""
+
+    def __init__(self, answer):
+        self.answer = answer
+
+    def complete(self, prompts: list[str], as_json: bool = True) -> list[str | None]:
+        return [self.answer(p) for p in prompts]
+
+
 class HashingEmbedder:
     """Signed hashing of words and word pairs, of unit length; the same text always gives the same vector."""
 
@@ -41,6 +57,11 @@ class HashingEmbedder:
         return out / np.where(norm > 0, norm, 1)
 
 
+def row_mean(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of texts: of a batch of vectors by token (texts x tokens x dimensions) their mean, one by text as it is."""
+    return vectors.mean(axis=1) if vectors.ndim == 3 else vectors
+
+
 EMBEDDERS = {"hash": HashingEmbedder}
 
 
@@ -57,6 +78,6 @@ def embed(c: Column, embedder: Embedder | None = None) -> Column:
 
     @F.pandas_udf("array<float>")
     def vectors(s: pd.Series) -> pd.Series:
-        return pd.Series(list(e.encode(s.fillna("").tolist())))
+        return pd.Series(list(row_mean(np.asarray(e.encode(s.fillna("").tolist())))))
 
     return vectors(c)
