@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ _masked = re.compile(r"\[[A-Za-z_]{4,}(?: [A-Za-z_]+)*\]|<[A-Z_]{4,}>", re.I)
 
 _tok = r"[^\W\d_]+(?:['\-][^\W\d_]+)*"
 _token = re.compile(rf"{_tok}")
+_digit = re.compile(r"\d")
 _particles = set("van von bin bint ibn abu al el de del der den la da dos di ter ben ten zu le بن بنت أبو ابو آل عبد".split())
 _before = re.compile(
     r"(?:\bmy name is|\bi'm|\bi am|\bthis is|\bcalled|\bpatient name:|\bpatient:|\bname:|\bsigned,|\bask for|\basked for|\b(?:dr|mr|mrs|ms|miss|prof|sister|nurse|doctor)\.?(?=\s)|\bmy (?:daughter|son|wife|husband|mother|father|sister|brother|carer|partner|neighbour|friend)(?: is called| is named| is|,)?(?=\s)|\b(?:husband|wife|daughter|son|mother|father|brother|sister)\s\(|\bregards,|\byours,|\bcare of|\bc/o"
@@ -76,9 +78,21 @@ _before = re.compile(
     re.I,
 )
 _after = re.compile(r"\s*(?:said\b|says\b|noticed\b|told me\b|wrote\b|called me\b|saw me\b|brings me\b|takes me\b|dijo\b|lo notó\b|me vio\b|me acompaña\b|لاحظ|لاحظت|قال|قالت)", re.I)
-_not_after = re.compile(r"^(?:'s\s+(?:\w+\s+)?(?:disease|syndrome|palsy|sign|test|stone|rash|cyst|tremor|phenomenon|tear|\w+itis)|\s+(?:ward|unit|wing|general hospital|hospital|clinic|pharmacist|pharmacy|centre|center|street|road|lane|avenue|disease|syndrome)\b)", re.I)
+_not_after = re.compile(r"(?:'s\s+(?:\w+\s+)?(?:disease|syndrome|palsy|sign|test|stone|rash|cyst|tremor|phenomenon|tear|\w+itis)|\s+(?:ward|unit|wing|general hospital|hospital|clinic|pharmacist|pharmacy|centre|center|street|road|lane|avenue|disease|syndrome)\b)", re.I)
 _right = re.compile(r"\s*(?:[.)\n]|$|  |,? ?(?:born|said|says|noticed|brings|takes|saw me|at the desk|from next|had the|writing|dijo|lo notó|me vio|me acompaña|y escribo|en recepción|وأكتب|ترافقني|يرافقني|فحصني|لاحظ|قال))", re.I)
 _not_before = re.compile(r"(?:\bat|\bin|\bto|\bfrom|\bon|\ben|\bby|\bof|\bthe|\btakes|\btomo|\bother|\bapart from|قسم|مستشفى|دواء)\s*$", re.I)
+#: Parts one of which every match of _before has, and those of _after; looked for first, in one pass.
+_BEFORE_PARTS = (
+    "name is", "i'm", "i am", "this is", "called", "patient", "name:", "signed,", "ask for", "asked for", "dr", "mr", "ms", "miss", "prof", "sister", "nurse", "doctor", "my ", "husband", "wife", "daughter", "son", "mother", "father", "brother", "regards,", "yours,", "care of", "c/o", "me llamo", "mi ", "soy", "paciente", "nombre", "firmado", "pregunten por",
+    "sr", "la señora", "el señor", "marido", "esposa", "esposo", "mujer", "hija", "hijo", "اسمي", "أنا", "الدكتور", "السيد", "ابنتي", "ابني", "زوجتي", "زوجي", "والدتي", "والدي", "أخي", "أختي", "جارتي", "جاري", "المريض", "الاسم:", "اسأل", "التوقيع", "مقدم الرعاية",
+)
+_AFTER_PARTS = ("said", "says", "noticed", "told me", "wrote", "called me", "saw me", "brings me", "takes me", "dijo", "lo notó", "me vio", "me acompaña", "لاحظ", "قال")
+_cues = ahocorasick.Automaton()
+for _group, _list in ((1, _BEFORE_PARTS), (2, _AFTER_PARTS)):
+    for _p in _list:
+        _cues.add_word(_p, _group | _cues.get(_p, 0))
+_cues.make_automaton()
+_initial = re.compile(r"(?<![^\W\d_])[^\W\d_]\. ")
 #: Words that begin or end sentences about other things and are never part of a name.
 _ordinary = set(
     "my our the a an and or is was were he she it i i'm we you they this that who with for from at on in to of by not no since until after before when please thanks call tel mobile text ring whatsapp reach mail email results passport ssn id health insurance social national dr mr mrs ms signed patient ask husband wife home moved delivery send staying lives live age called named takes seen told smokes "
@@ -92,11 +106,34 @@ class Lexicon:
     ordinary: frozenset[str]
 
 
-def _name_tokens(text: str, at: int, lex: Lexicon, cued: bool) -> int:
-    """End of the name that begins at `at`, or `at` if none does."""
-    end, pos, words, commas = at, at, 0, 0
+_blank = re.compile(r"\s*\Z")
+
+
+def _blank_from(text: str, at: int) -> bool:
+    return _blank.match(text, at) is not None
+
+
+def _flat(text: str) -> bool:
+    """Whether the letters of a text don't differ in case."""
     letters = [c for c in text if c.isalpha()]
-    flat = bool(letters) and (sum(c.isupper() for c in letters) in (0, len(letters)) or not any(c.isupper() or c.islower() for c in letters))
+    return bool(letters) and (sum(c.isupper() for c in letters) in (0, len(letters)) or not any(c.isupper() or c.islower() for c in letters))
+
+
+def _token_before(text: str, end: int) -> tuple[int, str] | None:
+    """(start, token) of the name's token that ends at `end` after white space, a bracket or nothing."""
+    at = end
+    while at and (text[at - 1].isalpha() or text[at - 1] in "'-"):
+        at -= 1
+    m = _token.match(text, at, end) if at < end and (not at or text[at - 1].isspace() or text[at - 1] == "(") else None
+    return (at, m.group(0)) if m and m.end() == end else None
+
+
+def _name_tokens(text: str, at: int, lex: Lexicon, cued: bool, flatness: list[bool]) -> int:
+    """End of the name that begins at `at`, or `at` if none does; flatness keeps what _flat says of the text, once that is asked."""
+    if not flatness:
+        flatness.append(_flat(text))
+    flat = flatness[0]
+    end, pos, words, commas = at, at, 0, 0
     while words < 5:
         m = _token.match(text, pos)
         if not m:
@@ -106,7 +143,7 @@ def _name_tokens(text: str, at: int, lex: Lexicon, cued: bool) -> int:
         stop = m.end()
         known = low in lex.names or any(p in lex.names for p in low.split("-"))
         rest = text[stop : stop + 2]
-        closed = not text[stop:].strip() or text[stop : stop + 1] in ".,;)\n:" or text[stop : stop + 2] == "  "
+        closed = _blank_from(text, stop) or text[stop : stop + 1] in ".,;)\n:" or text[stop : stop + 2] == "  "
         if len(word) == 1 and text[stop : stop + 1] == "." and (not word.islower() or flat and (words or cued)):
             stop += 1
         elif low.split("-")[0] in _particles and "-" in low and words:
@@ -160,13 +197,14 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
         if free(a, b):
             taken.append((a, b, kind))
 
-    if "@" in t or " at " in t.lower() or "(at" in t.lower() or "[at" in t.lower() or "arroba" in t.lower():
+    low_text = t.lower()
+    if "@" in t or " at " in low_text or "(at" in low_text or "[at" in low_text or "{at" in low_text or "( at" in low_text or "[ at" in low_text or "{ at" in low_text or "arroba" in low_text:
         for m in _email.finditer(t):
             if not m.group(1).isdigit() and re.search(r"[^\W\d_]", m.group(2)):
                 take(m.start(), m.end(), "email")
-    for m in _address.finditer(t):
-        take(m.start(), m.end(), "address")
-    if any(c.isdigit() for c in t):
+    if _digit.search(t):
+        for m in _address.finditer(t):
+            take(m.start(), m.end(), "address")
         for m in _id_cue.finditer(t):
             v = _id_value.match(t, m.end())
             if v and sum(c.isdigit() for c in v.group(0)) >= 5:
@@ -178,17 +216,23 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
             digits = sum(c.isdigit() for c in m.group(0))
             if 7 <= digits <= 20:
                 take(m.start(), m.end(), "phone")
-    for m in _before.finditer(t):
+    cues = 0
+    for _, group in _cues.iter(low_text):
+        cues |= group
+    flat: list[bool] = []
+    for m in _before.finditer(t) if cues & 1 else ():
         a = m.end()
-        b = _name_tokens(t, a, lex, True)
-        if b > a and not t[b:].startswith("'s "):
+        b = _name_tokens(t, a, lex, True, flat)
+        if b > a and not t.startswith("'s ", b):
             word = m.group(0).strip().lower()
             loose = word in ("i'm", "i am", "this is", "called", "soy", "أنا")
             first = _token.match(t, a).group(0).lower() if _token.match(t, a) else ""
             sure = first in lex.names or t[b : b + 6].lower().startswith((", born", " writ", " y esc", " وأكت")) or not loose or t[a].isupper() and b < len(t) and t[b] in ",.;"
             if sure:
                 take(a, b, "name")
-    for m in _token.finditer(t):  # names without a word before: known ones, followed by a verb or by another name
+    seen = set(_token.findall(low_text))
+    listed = not lex.names.isdisjoint(seen) or any("-" in x and not lex.names.isdisjoint(x.split("-")) for x in seen)
+    for m in _token.finditer(t) if listed or cues & 2 or _initial.search(t) else ():  # names without a word before: known ones, followed by a verb or by another name
         if m.group(0).lower() not in lex.names and not any(p in lex.names for p in m.group(0).lower().split("-")) and not (m.group(0)[:1].isupper() and _after.match(t, m.end())):
             if not (len(m.group(0)) == 1 and t[m.end() : m.end() + 2] == ". " and m.group(0).isupper()):
                 continue
@@ -196,27 +240,27 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
         if not free(a, m.end()) or a and (t[a - 1].isalnum() or t[a - 1] in "-'@_."):
             continue
         said = None
-        b = _name_tokens(t, a, lex, False)
+        b = _name_tokens(t, a, lex, False, flat)
         if b == a and (m.group(0)[:1].isupper() or m.group(0).lower() in lex.names) and _after.match(t, m.end()):
             b = m.end()
-        wide = _name_tokens(t, a, lex, True)
+        wide = _name_tokens(t, a, lex, True, flat)
         if wide > b and _after.match(t, wide):
             b = wide
         if b > a:
             said = _after.match(t, b)
-        if b == a or _not_after.match(t[b:]):
+        if b == a or _not_after.match(t, b):
             continue
         parts = [p.lower() for p in _token.findall(t[a:b])]
         several = sum(p in lex.names or any(q in lex.names for q in p.split("-")) for p in parts) >= 2 and not all(p in lex.ordinary for p in parts)
-        while said and (front := re.search(rf"(?:^|[\s(])({_tok}) $", t[:a])) and front.group(1)[:1].isupper() and front.group(1).lower() not in lex.ordinary | _ordinary and free(front.start(1), a):
-            a = front.start(1)
-            parts.insert(0, front.group(1).lower())
-        back = re.search(rf"(?:^|[\s(])({_tok}), $", t[:a]) if said else None
-        if back and back.group(1)[:1].isupper() and len(parts) == 1:  # family name first
-            low = back.group(1).lower()
-            if low not in lex.ordinary and low not in _ordinary and free(back.start(1), a):
-                a = back.start(1)
-        if (said and (parts[0] not in lex.ordinary or len(parts) > 1 or parts[0] in lex.names)) or (several and not _not_before.search(t[:a]) and (t[a].isupper() or not t[a].isascii() or t.islower())):
+        while said and t[a - 1 : a] == " " and (front := _token_before(t, a - 1)) and front[1][:1].isupper() and (low := front[1].lower()) not in lex.ordinary and low not in _ordinary and free(front[0], a):
+            a = front[0]
+            parts.insert(0, low)
+        back = _token_before(t, a - 2) if said and a > 1 and t[a - 2 : a] == ", " else None
+        if back and back[1][:1].isupper() and len(parts) == 1:  # family name first
+            low = back[1].lower()
+            if low not in lex.ordinary and low not in _ordinary and free(back[0], a):
+                a = back[0]
+        if (said and (parts[0] not in lex.ordinary or len(parts) > 1 or parts[0] in lex.names)) or (several and not _not_before.search(t[:a].rstrip()[-24:]) and (t[a].isupper() or not t[a].isascii() or t.islower())):
             take(a, b, "name")
     return sorted(taken)
 
@@ -446,11 +490,12 @@ def surrogate(item: str, kind: str, entity: str, key: bytes, attempt: int = 0, f
     tokens = list(_token.finditer(item))
     order = entity.split()
     new_of: dict[str, str] = {}
-    for i, word in enumerate(order):
+    for word in order:
         if word.strip(".") in _particles:
             continue
-        feminine = word[-1:] in "aةى" if i == 0 else None
-        new_of.setdefault(word.strip("."), _word(draw, "Xx" if word.isascii() or not any("؀" <= c <= "ۿ" for c in word) else word, feminine))
+        # Drawn by the token alone, so that a given or family name by itself is that of the full name.
+        feminine = True if word[-1:] in "aةى" and len(word) > 1 else None
+        new_of.setdefault(word.strip("."), _word(_Draw(key, kind, word.strip("."), str(attempt)), "Xx" if word.isascii() or not any("؀" <= c <= "ۿ" for c in word) else word, feminine))
     longest, grown = max(new_of, key=len, default=""), False
     if more and longest:
         new_of[longest] += "".join(draw.pick(_arabic) if "؀" <= longest[0] <= "ۿ" else draw.pick(_onsets) + draw.pick(_vowels) for _ in range(more))

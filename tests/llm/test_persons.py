@@ -88,3 +88,11 @@ def test_small_spaces_give_distinct_surrogates(spark):
     assert set(drawn) == real and all(len(v) == 1 for v in new.values())
     made = [(k, *v) for (k, _), v in new.items()]
     assert len(set(made)) == len(made) and not set(made) & real
+
+
+def test_parts_of_a_name_share_its_surrogate():
+    whole = personal_info.surrogate("Anna Berger", "name", personal_info.same_item("Anna Berger", "name"), b"k")
+    for part, at in (("Anna", 0), ("Berger", 1)):
+        assert personal_info.surrogate(part, "name", personal_info.same_item(part, "name"), b"k") == whole.split()[at]
+    turned = personal_info.surrogate("BERGER, Anna", "name", personal_info.same_item("BERGER, Anna", "name"), b"k")
+    assert turned == f"{whole.split()[1].upper()}, {whole.split()[0]}" and whole.split()[0].endswith("a")
