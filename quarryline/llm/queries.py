@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import main_content, near_duplicates, packing, personal_info, repeated_lines, residue, splitting, token_budget
-from .common import table
+from .common import shared_dir, table
 from .encoding import encode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,12 +68,27 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return splitting.article_sections(table(spark, d, "articles")).unionByName(splitting.evidence_sections(table(spark, d, "evidence_records")))
 
 
+#: No item of these tables reaches a range of the usual size; these are so small that each oversized one is stitched of several.
+SMALL_RANGES = splitting.Limits(range_chars=1 << 11)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(splitting.ranges(_items(spark, d))).select("item_kind", "item_id", "section_no")
+    return splitting.oversized(splitting.ranges(_items(spark, d), SMALL_RANGES), SMALL_RANGES).select("item_kind", "item_id", "section_no")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split(splitting.ranges(_items(spark, d)))
+    return splitting.split(splitting.ranges(_items(spark, d), SMALL_RANGES), SMALL_RANGES)
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of texts, by byte ranges: how many words their pieces have without the overlaps, and whether all are within the limit."""
+    path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    table(spark, d, "documents").where("text is not null").select("text").repartition(4).write.text(path)
+    paths = splitting.files_in(spark, path)
+    limits = splitting.Limits()
+    pieces = splitting.split(splitting.file_ranges(spark, paths, limits), limits, keep_small=True)
+    whole = F.sum(F.col("n_words") - F.when(F.col("piece_no") > 0, limits.overlap).otherwise(0))
+    return pieces.agg(whole.alias("n_words"), (F.max("n_words") <= limits.words).alias("within"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +107,13 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean_corpus(table(spark, d, "documents").select("doc_id", "title", "text", "lang", "source")).select("doc_id", "lang", "source", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_token_budget, p1_totals, p1_articles, p2_found, p2_groups, p3_found, p3_cleaned, p4_found, p4_articles, p5_found, p5_masked, p5_surrogates, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_clean)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_token_budget, p1_totals, p1_articles, p2_found, p2_groups, p3_found, p3_cleaned, p4_found, p4_articles, p5_found, p5_masked, p5_surrogates, p6_found, p6_pieces, p6_files, p7_ids, p8_containers, p9_found, p9_clean)}
 
 # White space with the no-break space, as RE2 writes it.
 _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 ORACLE: dict[str, str] = {
+    "p6_files": rf"select sum(len(list_filter(string_split_regex(text, '{_W}+'), lambda w: w <> '')))::bigint as n_words, true as within from documents",
     "p1_articles": rf"""
         with v as (
             select article_id,

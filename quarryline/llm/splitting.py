@@ -80,6 +80,8 @@ def evidence_sections(df: DataFrame, key: str = "evidence_id", section: str = "s
 
 
 ITEM = ["item_kind", "item_id", "section_no"]
+#: Ranges whose sums one task works out.
+BLOCK = 1024
 _RANGE = "item_kind string, item_id string, section_no int, range_no bigint, single boolean, text string, before string"
 
 
@@ -103,6 +105,16 @@ def ranges(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return map_batches(items.where("text is not null").select(*ITEM, "text"), _RANGE, make)
 
 
+def files_in(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of a folder's files of some size, as file_ranges takes them."""
+    from pyarrow import fs
+
+    folder = re.sub(r"^file:/+", "/", folder)
+    system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    scheme = folder[: len(folder) - len(at)] if folder.endswith(at) else ""
+    return sorted(scheme + f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.size and not f.base_name.startswith((".", "_")))
+
+
 def file_ranges(spark: SparkSession, paths: list[str], limits: Limits = Limits()) -> DataFrame:
     """The same for UTF-8 files, by byte ranges: a range owns the characters that begin in it, and seeks to them.
 
@@ -198,6 +210,23 @@ def oversized(cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return counted.groupBy(*ITEM).agg(F.sum("n_words").alias("n_words")).where(F.col("n_words") > limits.words)
 
 
+def _stitched(table: DataFrame) -> DataFrame:
+    """Ranges with what the item has before them (word0, char0) and in all (words, chars).
+
+    Sums go by blocks of BLOCK ranges and over the blocks, so that no task sees more of an item than a block's ranges or
+    a row for each of its blocks.
+    """
+    narrow = table.select(*ITEM, "range_no", F.floor(F.col("range_no") / BLOCK).alias("block"), "n_words", "n_chars")
+    before = lambda *by: Window.partitionBy(*ITEM, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sum_ = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    blocks = narrow.groupBy(*ITEM, "block").agg(F.sum("n_words").alias("bw"), F.sum("n_chars").alias("bc"))
+    item = Window.partitionBy(*ITEM)
+    blocks = blocks.select(*ITEM, "block", sum_("bw", before("block")).alias("w0"), sum_("bc", before("block")).alias("c0"), F.sum("bw").over(item).alias("words"), F.sum("bc").over(item).alias("chars"))
+    inside = narrow.select(*ITEM, "block", "range_no", sum_("n_words", before("block", "range_no")).alias("w1"), sum_("n_chars", before("block", "range_no")).alias("c1"))
+    sums = inside.join(blocks, [*ITEM, "block"]).select(*ITEM, "range_no", (F.col("w0") + F.col("w1")).alias("word0"), (F.col("c0") + F.col("c1")).alias("char0"), "words", "chars")
+    return table.join(sums, [*ITEM, "range_no"])
+
+
 def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -> DataFrame:
     """Pieces: item_kind, item_id, section_no, piece_no (int), start_pos, end_pos, n_words (bigint), text.
 
@@ -207,12 +236,7 @@ def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -
     """
     table = _counted(cut, limits, keep_small).dropDuplicates([*ITEM, "range_no"])
     table = materialize(table, "ranges")
-    order = Window.partitionBy(*ITEM).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*ITEM)
-    sums = table.select(*ITEM, "range_no", "n_words", "n_chars").select(
-        *ITEM, "range_no", F.coalesce(F.sum("n_words").over(order), F.lit(0)).alias("word0"), F.coalesce(F.sum("n_chars").over(order), F.lit(0)).alias("char0"), F.sum("n_words").over(whole).alias("words"), F.sum("n_chars").over(whole).alias("chars")
-    )  # the stitched table: a row a range, no text
-    placed = table.join(sums, [*ITEM, "range_no"])
+    placed = _stitched(table)
     if not keep_small:
         placed = placed.where(F.col("words") > limits.words)
 
@@ -221,6 +245,7 @@ def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, k_, level_, word_ = [], [], [], []
+            # Each number k up to the item's last has a cut: its window lies within the item's words.
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             levels = cols["levels"]
             for r, (w0, total) in enumerate(zip(cols["word0"].to_pylist(), cols["words"].to_pylist())):
@@ -237,24 +262,24 @@ def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -
                     level_.append(int(part[at]))
                     word_.append(a + at)
             taken = batch.take(pa.array(rows, pa.int64()))
-            return pa.RecordBatch.from_arrays([*[taken.column(i) for i in range(3)], pa.array(k_, pa.int64()), pa.array(level_, pa.int32()), pa.array(word_, pa.int64())], names=[*ITEM, "k", "level", "word"])
+            return pa.RecordBatch.from_arrays([*[taken.column(n) for n in (*ITEM, "words", "chars")], pa.array(k_, pa.int64()), pa.array(level_, pa.int32()), pa.array(word_, pa.int64())], names=[*ITEM, "words", "chars", "k", "level", "word"])
 
         return step
 
-    found = map_batches(placed.select(*ITEM, "levels", "word0", "words"), "item_kind string, item_id string, section_no int, k bigint, level int, word bigint", make)
-    cuts = found.groupBy(*ITEM, "k").agg(F.max(F.struct("level", "word")).alias("c")).select(*ITEM, "k", F.col("c.word").alias("cut"))
-    totals = placed.select(*ITEM, "words", "chars").distinct()
+    found = map_batches(placed.select(*ITEM, "levels", "word0", "words", "chars"), "item_kind string, item_id string, section_no int, words bigint, chars bigint, k bigint, level int, word bigint", make)
+    cuts = found.groupBy(*ITEM, "k").agg(F.max(F.struct("level", "word")).alias("c"), F.max("words").alias("words"), F.max("chars").alias("chars")).select(*ITEM, "k", F.col("c.word").alias("cut"), "words", "chars")
     if keep_small:
-        totals_cut = totals.where(F.col("words") > limits.words)
-    else:
-        totals_cut = totals
-    by = Window.partitionBy(*ITEM).orderBy("cut")
-    cuts = cuts.join(totals_cut, ITEM)
-    # The last cut is left out if the piece before it may run to the end.
-    cuts = cuts.withColumn("prior", F.coalesce(F.lag("cut").over(by), F.lit(0))).withColumn("next", F.lead("cut").over(by)).where(F.col("next").isNotNull() | (F.col("words") - F.col("prior") > span))
-    heads = totals.select(*ITEM, F.lit(0).cast("long").alias("cut"), "words", "chars")
-    heads = heads.unionByName(cuts.select(*ITEM, "cut", "words", "chars"))
-    pieces = heads.select(*ITEM, (F.row_number().over(by) - 1).cast("int").alias("piece_no"), F.greatest(F.col("cut") - limits.overlap, F.lit(0)).alias("first"), F.coalesce(F.lead("cut").over(by), F.col("words")).alias("stop"), "words", "chars")
+        cuts = cuts.where(F.col("words") > limits.words)
+    heads = placed.where("range_no = 0").select(*ITEM, F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cut"), "words", "chars")
+    # Piece k lies from cut k to the next; a cut tells its neighbours by number, so that items needn't be gathered. The last
+    # cut is left out if the piece before it may run to the end.
+    told = heads.unionByName(cuts).withColumn("to", F.explode(F.array(*[F.struct((F.col("k") + d).alias("k"), F.lit(d).alias("d")) for d in (-1, 0, 1)])))
+    told = told.groupBy(*ITEM, F.col("to.k").alias("k")).agg(*[F.max(F.when(F.col("to.d") == d, F.col("cut"))).alias(name) for name, d in (("cut", 0), ("prior", 1), ("next", -1))], F.max("words").alias("words"), F.max("chars").alias("chars")).where("cut is not null")
+    last = (F.col("k") > 0) & (F.col("k") * stride <= F.col("words") - 1) & ((F.col("k") + 1) * stride > F.col("words") - 1)
+    told = told.where(~last | (F.col("words") - F.col("prior") > span))
+    over = ((F.col("k") + 1) * stride <= F.col("words") - 1) & ((F.col("k") + 2) * stride > F.col("words") - 1) & (F.col("words") - F.col("cut") <= span)  # the next is left out
+    small = F.col("words") <= limits.words
+    pieces = told.select(*ITEM, F.col("k").cast("int").alias("piece_no"), F.greatest(F.col("cut") - limits.overlap, F.lit(0)).alias("first"), F.when(over | small, F.col("words")).otherwise(F.coalesce("next", "words")).alias("stop"), "words", "chars")
 
     # Numbers of words to offsets: by buckets of numbers, so that an item of any size takes no more than equi-joins.
     pieces = materialize(pieces, "pieces")

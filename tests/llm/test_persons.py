@@ -91,8 +91,8 @@ def test_small_spaces_give_distinct_surrogates(spark):
 
 
 def test_parts_of_a_name_share_its_surrogate():
-    whole = personal_info.surrogate("Anna Berger", "name", personal_info.same_item("Anna Berger", "name"), b"k")
+    whole = pi.surrogate("Anna Berger", "name", pi.same_item("Anna Berger", "name"), b"k")
     for part, at in (("Anna", 0), ("Berger", 1)):
-        assert personal_info.surrogate(part, "name", personal_info.same_item(part, "name"), b"k") == whole.split()[at]
-    turned = personal_info.surrogate("BERGER, Anna", "name", personal_info.same_item("BERGER, Anna", "name"), b"k")
+        assert pi.surrogate(part, "name", pi.same_item(part, "name"), b"k") == whole.split()[at]
+    turned = pi.surrogate("BERGER, Anna", "name", pi.same_item("BERGER, Anna", "name"), b"k")
     assert turned == f"{whole.split()[1].upper()}, {whole.split()[0]}" and whole.split()[0].endswith("a")

@@ -103,3 +103,14 @@ def test_ranks_are_whole(spark):
     got = packing._ranked(df, "size", ["k"], 7).collect()
     for s in range(3):
         assert sorted(r["rank"] for r in got if r["size"] == s) == list(range(len([r for r in got if r["size"] == s])))
+
+
+def test_sums_by_blocks_of_ranges(spark, monkeypatch):
+    """An item of many blocks of ranges gives the same pieces as one of a single range."""
+    text = "\n".join(f"word{i} and more. Next" for i in range(3000))
+    df = spark.createDataFrame([("a", "x", 0, text), ("a", "y", 1, "short one"), ("a", "x", 1, text[:9000])], "item_kind string, item_id string, section_no int, text string")
+    monkeypatch.setattr(splitting, "BLOCK", 3)
+    rows = []
+    for limits in (splitting.Limits(range_chars=700, halo=64), splitting.Limits()):
+        rows.append(sorted(map(tuple, splitting.split(splitting.ranges(df, limits), limits).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) > 30
