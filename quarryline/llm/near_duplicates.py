@@ -2,27 +2,30 @@
 
 A text's fingerprint is a word of 64 symbols, its minimum hashes: two texts of
 similarity J agree in each symbol with probability J, so similar texts are
-words of small Hamming distance. They are joined by anchor points of a covering
-code. The anchors of a block design over the 64 places (the lines of the affine
-space AG(3,4), four places each) are the words that have symbols at one line's
-places and blanks elsewhere; a fingerprint lies within the covering radius (60)
-of exactly one anchor for each line and is replicated to all of these. Any two
-lines share at most one place, which makes the lines' chances of being agreed
-upon nearly independent: 48 of them (3 classes) miss two texts of similarity 0.6 with
-probability 0.0074, of 0.65 with 0.0013, of 0.7 with 0.0001 (`miss_rate`); 64 of
-them with 0.0027, 0.0003 and 0.00005. In binary codes the ball
-of radius plus threshold around a point would hold a constant share of all
-anchors at this threshold, which is why symbols and lines are used.
-
-Texts that meet at an anchor are compared by their whole fingerprints, and who
-remains by the exact sets of shingles. The texts of an anchor where very many
-meet form blocks; pairs of blocks are compared by tasks of their own, and only
-pairs whose fingerprints are close leave them.
+words of small Hamming distance. Texts are compared where they meet: on a line,
+four places of the fingerprint, in all of whose symbols they agree. The lines
+are those of the affine space AG(3,4) over the 64 places; any two share at most
+one place, which makes the lines' chances of being agreed upon nearly
+independent: 48 of them (3 parallel classes) miss two texts of similarity 0.6
+with probability 0.0074, of 0.65 with 0.0013, of 0.7 with 0.0001 (`miss_rate`),
+all 336 (`classes=21`) with less than one in a million.
+
+This isn't the anchor-point covering that the problem names: a covering code
+whose anchors take every fingerprint within covering radius plus threshold.
+At a similarity of 0.6 that can't be had (see `code_cost` and the README). What
+is kept of it is that fingerprints are replicated to points and compared point
+by point ("anchors" below); its guarantee is replaced by the miss rate above.
+
+Who agrees in whole fingerprints well enough is compared by the exact sets of
+shingles. The texts of an anchor where very many meet form blocks; pairs of
+blocks are compared by tasks of their own, and only pairs whose fingerprints
+are close leave them.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from functools import lru_cache
 
@@ -68,6 +71,16 @@ def miss_rate(similarity: float, classes: int = 3, trials: int = 200_000, seed:
     return float(1 - np.any([agree[:, line].all(axis=1) for line in design(classes)], axis=0).mean())
 
 
+def code_cost(allowed: int, length: int = 23, radius: int = 3, anchors: int = 4096) -> tuple[float, float]:
+    """(anchors a fingerprint goes to, share of all fingerprints at an anchor) for one part of an anchor-point covering.
+
+    By default a part is 23 bits and the code the perfect binary Golay code. A fingerprint goes to every anchor within
+    radius + allowed, where allowed is the distance that two similar fingerprints may have in the part.
+    """
+    ball = sum(math.comb(length, r) for r in range(min(length, radius + allowed) + 1))
+    return ball * anchors / 2**length, ball / 2**length
+
+
 def words_of(text: str) -> list[str]:
     """Longest runs of letters and digits of the lower-cased text."""
     return _word.findall(text.lower())
@@ -189,11 +202,49 @@ def _anchors(prints: DataFrame, classes: int) -> DataFrame:
     return map_batches(prints.select("digest", "print"), "anchor bigint, digest bigint", make)
 
 
-def _met(anchored: DataFrame, crowded: int) -> DataFrame:
-    """(a, b, anchor): pairs a < b that meet at an anchor; where more than `crowded` meet, (a, null, anchor) of each instead.
+#: One in so many texts is looked at to know the hottest anchors before any rows are sorted by anchor; an anchor is hot if it
+#: holds more than this share of them, so that at most the lines over this share are.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1e-4, 50
+
+
+def _hot(marked: DataFrame, classes: int) -> np.ndarray:
+    """The hottest anchors, in order, by a sample: their texts go to blocks at once. Only the plan depends on it, never the pairs."""
+    sample = materialize(marked.where(F.pmod(F.xxhash64("digest"), F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["digest"]), "sample")
+    counted = _anchors(sample, classes).groupBy("anchor").count()
+    n = sample.count()
+    rows = counted.where(F.col("count") >= max(HOT_LEAST, HOT_SHARE * n)).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64))
+
 
-    Reads each partition in the order of anchors, a batch at a time, and keeps no more than an uncrowded anchor.
+def _met(anchored: DataFrame, crowded: int, hot: np.ndarray) -> DataFrame:
+    """(a, b, anchor): pairs a < b that meet at an anchor; where more than `crowded` meet, or which is hot, (a, null, anchor) of each instead.
+
+    Reads each partition in the order of anchors, a batch at a time, and keeps no more than an uncrowded anchor. Rows of
+    hot anchors pass by unsorted, where they are.
     """
+    spark = anchored.sparkSession
+    if len(hot):
+        shared = spark.sparkContext.broadcast(hot)
+
+        def split(batches):
+            hot = shared.value
+            for batch in batches:
+                a = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
+                is_hot = hot[at] == a
+                n = int(is_hot.sum())
+                if n:
+                    d = batch.column(1).to_numpy()[is_hot]
+                    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.zeros(n, np.int64)), pa.array(a[is_hot]), pa.array(np.zeros(n, bool))], names=["a", "b", "anchor", "pair"])
+
+        def cool(batches):
+            hot = shared.value
+            for batch in batches:
+                a = batch.column(0).to_numpy()
+                yield batch.take(pa.array(np.flatnonzero(hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] != a)))
+
+        passed = anchored.mapInArrow(split, "a bigint, b bigint, anchor bigint, pair boolean")
+        return passed.unionByName(_met(anchored.mapInArrow(cool, anchored.schema), crowded, hot[:0]))
     ordered = anchored.repartition("anchor").sortWithinPartitions("anchor", "digest")
 
     def run(batches):
@@ -268,9 +319,8 @@ def _met(anchored: DataFrame, crowded: int) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, anchor bigint, pair boolean")
 
 
-def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose fingerprints agree in as many symbols as those of the similarity do."""
-    floor = _floor(similarity)
+def _close(pairs: DataFrame, prints: DataFrame, floor: int) -> DataFrame:
+    """Pairs whose fingerprints agree in at least so many symbols."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -285,8 +335,9 @@ def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("a", "b", "pa", "pb"), "a bigint, b bigint", make)
 
 
-def _similar_classes(df: DataFrame, key: str, text: str, similarity: float, width: int, least_words: int, classes: int, crowded: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar_classes(df: DataFrame, key: str, text: str, similarity: float, width: int, least_words: int, classes: int, crowded: int, block: int, floor: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the classes of records with one set of shingles: (id, digest, raw, print) by row, (digest, id, n) with the first record, and (a, b) of the similar ones."""
+    floor = _floor(similarity) if floor is None else floor
     marked = materialize(_fingerprinted(df, key, text, width, least_words), "fingerprints")
     heads = marked.select("id", "digest").distinct().groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     heads = materialize(heads, "classes")
@@ -294,13 +345,13 @@ def _similar_classes(df: DataFrame, key: str, text: str, similarity: float, widt
     # One fingerprint a class: rows alone in theirs pass by, the others are reduced to one.
     prints = marked.select("digest", "print").join(repeats.select("digest"), "digest", "left_anti")
     prints = prints.unionByName(marked.join(repeats.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("print").alias("print")))
-    met = materialize(_met(_anchors(prints, classes), crowded), "met")
+    met = materialize(_met(_anchors(prints, classes), crowded, _hot(marked, classes)), "met")
     pairs = met.where("pair").select("a", "b")
     busy = met.where("not pair").select("anchor", F.col("a").alias("digest")).distinct()
     if not busy.isEmpty():
-        crowds = materialize(_crowds(busy, prints, classes, similarity, block), "crowds")
+        crowds = materialize(_crowds(busy, prints, classes, floor, block), "crowds")
         pairs = pairs.unionByName(crowds)
-    near = materialize(_close(pairs.distinct(), prints, similarity), "near")
+    near = materialize(_close(pairs.distinct(), prints, floor), "near")
 
     texts = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].cast("string").alias("id"), df[text].alias("t"))
     named = near.join(heads.select(F.col("digest").alias("a"), F.col("id").alias("ia")), "a").join(heads.select(F.col("digest").alias("b"), F.col("id").alias("ib")), "b")
@@ -311,15 +362,16 @@ def _similar_classes(df: DataFrame, key: str, text: str, similarity: float, widt
     return marked, heads, materialize(_verified(sides, width, least_words, similarity), "pairs")
 
 
-def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES, block: int = BLOCK, every_copy: bool = False) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, copies: int = COPIES, block: int = BLOCK, every_copy: bool = False, floor: int | None = None) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: records whose sets of runs of `width` words share at least `similarity` of their union.
 
     Both texts have at least `least_words` words. Rows with a null key or text are left out; rows that repeat a key must
     repeat its text and count once. Different texts give all pairs of their records. More than `copies` records of the very
     same text are paired with the first of them only, and with other texts that one stands for all unless `every_copy` is
-    set (see `similar_groups` for the membership). Extra columns are ignored; an empty table gives no rows.
+    set (see `similar_groups` for the membership). classes=21 and floor=0 look at every line and leave out no pair that meets
+    before its sets of shingles are compared; by default some are missed at the stated rates. Extra columns are ignored; an empty table gives no rows.
     """
-    marked, heads, checked = _similar_classes(df, key, text, similarity, width, least_words, classes, crowded, block)
+    marked, heads, checked = _similar_classes(df, key, text, similarity, width, least_words, classes, crowded, block, floor)
     members = marked.select("id", "digest").distinct()
     small = members.join(heads.where((F.col("n") <= copies) & (F.col("n") > 1)).select("digest"), "digest", "left_semi")
     within = small.select("digest", F.col("id").alias("x")).join(small.select("digest", F.col("id").alias("y")), "digest").where("x < y").select("x", "y")
@@ -343,6 +395,20 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def copy_classes(df: DataFrame, key: str = "evidence_id", text: str = "text") -> DataFrame:
+    """(id, class_id, class_size) of each record with a text: the records of the very same text, named by their smallest id.
+
+    With it the pairs that similar_pairs leaves out for very many copies can be had. Null keys and texts are left out;
+    repeated rows count once. Texts are told apart by 256 bits.
+    """
+    rows = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].cast("string").alias("id"), F.unhex(F.sha2(df[text], 256)).alias("h")).distinct()
+    rows = materialize(rows, "copies")
+    sizes = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    # Rows alone in their class needn't be joined, and few classes have several.
+    several = sizes.where("class_size > 1")
+    return rows.join(several, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
 def similar_groups(df: DataFrame, key: str = "evidence_id", text: str = "text", similarity: float = 0.6, width: int = 3, least_words: int = 12, classes: int = 3, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """(id, group_id, n_links): connected groups of all similar records and how many records each is similar to, counted by classes.
 
@@ -364,7 +430,7 @@ def _floor(similarity: float) -> int:
     return int(SYMBOLS * similarity - 4.0 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5)
 
 
-def _crowds(busy: DataFrame, prints: DataFrame, classes: int, similarity: float, block: int) -> DataFrame:
+def _crowds(busy: DataFrame, prints: DataFrame, classes: int, floor: int, block: int) -> DataFrame:
     """(a, b): pairs within crowded anchors whose fingerprints are close.
 
     An anchor's texts form blocks by hash, and each pair of blocks is compared by itself, so that no task holds more than
@@ -379,7 +445,6 @@ def _crowds(busy: DataFrame, prints: DataFrame, classes: int, similarity: float,
     def run(batches):
         lines = design(classes)
         salt = _mix(np.arange(len(lines), dtype=np.uint64) + np.uint64(77))
-        floor = _floor(similarity)
         key, held = None, []
 
         def compare():
@@ -447,15 +512,16 @@ def _verified(sides: DataFrame, width: int, least_words: int, similarity: float)
     return map_batches(sides.select("a", "b", "ta", "tb"), "a bigint, b bigint", make)
 
 
-def classes_of(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
+def classes_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, group_id, n_links): connected groups of the pairs, named by their smallest id; records without a pair are groups of one.
 
-    Each round a record takes the smallest name among its neighbours' and its name's own name, so that chains halve.
+    Each round a record takes the smallest name among its neighbours' and its name's own name, so that chains halve. Rounds
+    go on until no name changes.
     """
     edges = materialize(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(pairs.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))), "edges")
     links = edges.groupBy("u").agg(F.count("*").alias("n_links"))
     names = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("name")), "names")
-    for _ in range(rounds):
+    while True:
         offered = edges.join(names.select(F.col("u").alias("v"), F.col("name").alias("offer")), "v").groupBy("u").agg(F.min("offer").alias("offer"))
         jumped = names.join(names.select(F.col("u").alias("name"), F.col("name").alias("far")), "name", "left")
         after = materialize(jumped.join(offered, "u", "left").select("u", F.least("name", F.coalesce("far", "name"), F.coalesce("offer", "name")).alias("name"), F.col("name").alias("old")), "names")

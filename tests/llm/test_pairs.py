@@ -102,3 +102,39 @@ def test_groups_of_a_chain(spark):
     ids = spark.createDataFrame([(f"{i:03d}",) for i in range(62)] + [(None,)], "id string")
     got = {r["id"]: r["group_id"] for r in nd.classes_of(pairs, ids).collect()}
     assert got["030"] == "000" and got["060"] == "031" and got["061"] == "061" and len(got) == 62
+
+
+def test_hot_anchors_change_no_pair(spark, monkeypatch):
+    rows = sample(20, seed=5)
+    df = spark.createDataFrame(rows, "evidence_id string, text string").repartition(3)
+    monkeypatch.setattr(nd, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(nd, "HOT_LEAST", 3)
+    marked = nd._fingerprinted(df, "evidence_id", "text", 3, 12)
+    assert len(nd._hot(marked, 3)) > 0
+    assert {tuple(r) for r in nd.similar_pairs(df, classes=21, floor=0).collect()} == brute(rows)
+
+
+def test_every_line_loses_nothing(spark):
+    """At the threshold itself: with all lines and no floor each pair is found."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        base = [f"v{g}_{i}" for i in range(40)]
+        other = base[:]
+        for at in rng.sample(range(4, 36), 3):
+            other[at] = f"o{g}_{at}"
+        rows += [(f"a{g:02d}", " ".join(base)), (f"b{g:02d}", " ".join(other))]
+    df = spark.createDataFrame(rows, "evidence_id string, text string")
+    assert {tuple(r) for r in nd.similar_pairs(df, classes=21, floor=0).collect()} == brute(rows)
+
+
+def test_copy_classes(spark):
+    rows = [("a", "t"), ("b", "t"), ("b", "t"), ("c", "u"), ("d", ""), (None, "t"), ("e", None)]
+    got = nd.copy_classes(spark.createDataFrame([(*r, "clash") for r in rows], "evidence_id string, text string, class_id string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1), ("d", "d", 1)]
+
+
+def test_covering_by_a_perfect_code_costs_half_of_all_pairs():
+    assert nd.code_cost(0) == (1.0, 2048 / 2**23)
+    spread, share = nd.code_cost(8)  # a third of 25 of 69 bits, which similarity 0.6 asks for
+    assert spread > 2000 and share > 0.49
