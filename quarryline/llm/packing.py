@@ -175,22 +175,25 @@ def _ranked(df: DataFrame, by: str, order: list[str], buckets: int, alias: str =
     return inner.join(before, [by, "__b"]).select(*df.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).cast("long").alias(alias))
 
 
-def _placed(df: DataFrame, columns: list[str], plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+def _placed(df: DataFrame, columns: list[str], plan: list[tuple[int, int, int, int, int]], ahead: np.ndarray | None = None) -> DataFrame:
     """Adds to rows of (class, rank) what their interval says: v (third number) and o (offset // each + fifth number).
 
-    The plan's size depends on the capacity alone, not on the number of rows.
+    With `ahead` ranks are within a size, and that many items of other sizes come before. The plan's size depends on the
+    capacity alone, not on the number of rows.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(np.array(sorted(plan), np.int64).reshape(-1, 6))
+    shared = spark.sparkContext.broadcast((np.array(sorted(plan), np.int64).reshape(-1, 6), ahead))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns) + ", v bigint, o bigint"
     source = df.select(*columns, F.col("class").cast("long").alias("__c"), F.col("rank").cast("long").alias("__r"))
 
     def make():
-        table = shared.value
+        table, ahead = shared.value
         begin = table[:, 0] * (1 << 44) + table[:, 1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             c, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in (len(columns), len(columns) + 1))
+            if ahead is not None:
+                r = r + ahead[batch.column(columns.index("size")).to_numpy(zero_copy_only=False)]
             row = table[np.searchsorted(begin, c * (1 << 44) + r, side="right") - 1]
             return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(row[:, 3]), pa.array((r - row[:, 1]) // row[:, 4] + row[:, 5])], names=[*columns, "v", "o"])
 
@@ -219,7 +222,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, groups: in
     tiny = [(s, n) for s, n in split if s <= small]
 
     intervals, containers = plan_large(np.array([s for s, _ in large], np.int64), np.array([n for _, n in large], np.int64), capacity, groups)
-    ahead, at = {}, 0
+    ahead, at = np.zeros(capacity + 1, np.int64), 0
     for s, n in large:
         ahead[s] = at
         at += n
@@ -227,11 +230,9 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, groups: in
     out = []
     placed = None
     if large:
-        ranked = _ranked(items.where(F.col("size") > small), "size", ["k", "piece_no"], buckets)
-        shift = F.create_map(*[F.lit(x) for s in ahead for x in (s, ahead[s])])
-        ranked = ranked.select(*cols, F.lit(0).alias("class"), (F.element_at(shift, F.col("size")) + F.col("rank")).alias("rank"))
+        ranked = _ranked(items.where(F.col("size") > small), "size", ["k", "piece_no"], buckets).withColumn("class", F.lit(0))
         # (class, from, to, value, each, plus)
-        placed = materialize(_placed(ranked, cols, [(0, a, b, 0, each, c) for a, b, c, each, _ in intervals]).select(*cols, F.col("o").alias("container")), "large")
+        placed = materialize(_placed(ranked, cols, [(0, a, b, 0, each, c) for a, b, c, each, _ in intervals], ahead).select(*cols, F.col("o").alias("container")), "large")
         out.append(placed)
     new = 0
     if tiny:
@@ -246,7 +247,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, groups: in
         where = materialize(_placed(ranked, cols, [(s, a, b, g, 1, at) for s, a, b, g, at in plan]), "small")
         out.append(where.where("v = -1").select(*cols, (F.col("o") + containers).alias("container")))
         if placed is not None:
-            out.append(where.where("v >= 0").join(gaps, (F.col("v") == F.col("gap")) & (F.col("o") == F.col("slot"))).select(*cols, "container"))
+            # There are as many gaps as containers: never to be broadcast.
+            out.append(where.where("v >= 0").join(gaps.hint("merge"), (F.col("v") == F.col("gap")) & (F.col("o") == F.col("slot"))).select(*cols, "container"))
     every = containers + new
     out.append(items.where("size = 0").select(*cols, (F.pmod(F.xxhash64("k"), F.lit(every)) if every else F.lit(0)).cast("long").alias("container")))
     result = out[0]
