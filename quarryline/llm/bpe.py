@@ -79,10 +79,10 @@ class _Parts(dict):
 
 
 class Tokenizer:
-    """Of a rank file: base64 of the bytes and the rank on each line."""
+    """Of a rank file or its bytes: base64 of a string's bytes and its rank on each line."""
 
-    def __init__(self, path: str):
-        raw = open(path, "rb").read()
+    def __init__(self, source: str | bytes):
+        raw = rank_file(source) if isinstance(source, str) else source
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         self.strings = {i: s for s, i in self.ranks.items()}
         self.hash = hashlib.sha256(raw).hexdigest()[:16]
@@ -120,5 +120,31 @@ class Tokenizer:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """Of a worker; read once."""
+    """Of a process that has the file; read once."""
     return Tokenizer(path)
+
+
+#: Bytes up to which a rank file is sent to the tasks.
+LARGEST_FILE = 64 << 20
+
+
+def rank_file(path: str) -> bytes:
+    """The file's bytes, for the driver to send along, so that only its machine needs the file."""
+    with open(path, "rb") as f:
+        raw = f.read(LARGEST_FILE + 1)
+    if len(raw) > LARGEST_FILE:
+        raise ValueError(f"{path} has more than {LARGEST_FILE} bytes")
+    return raw
+
+
+@lru_cache(maxsize=4)
+def _of(digest: str) -> list:
+    return []
+
+
+def received(raw: bytes) -> Tokenizer:
+    """The tokenizer of bytes that were sent; a worker builds it once, and keeps what it has learnt."""
+    held = _of(hashlib.sha256(raw).hexdigest())
+    if not held:
+        held.append(Tokenizer(raw))
+    return held[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import tokenizer
+from .bpe import rank_file, received
 from .common import list_array, map_batches
 
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,8 +20,10 @@ def encode(df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K, ids: st
     source = df.select(df[key].alias("k"), df[text].alias("t"))
     kind = df.schema[key].dataType.simpleString()
 
+    shared = df.sparkSession.sparkContext.broadcast(rank_file(path))
+
     def make():
-        t = tokenizer(path)
+        t = received(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, lengths = t.flat_ids(batch.column(1).to_pylist())
@@ -38,8 +40,10 @@ def count_tokens(df: DataFrame, text: str, path: str = BYTE_BPE_50K, count: str
     source = df.select(*rest, df[text].alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
 
+    shared = df.sparkSession.sparkContext.broadcast(rank_file(path))
+
     def make():
-        t = tokenizer(path)
+        t = received(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = pa.array([t.count(x) for x in batch.column(len(rest)).to_pylist()], pa.int64())
@@ -54,8 +58,10 @@ def decode(df: DataFrame, key: str, ids: str, path: str = BYTE_BPE_50K) -> DataF
     """(key, text) of token lists; an empty or null list gives an empty text."""
     kind = df.schema[key].dataType.simpleString()
 
+    shared = df.sparkSession.sparkContext.broadcast(rank_file(path))
+
     def make():
-        t = tokenizer(path)
+        t = received(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])

@@ -227,14 +227,16 @@ def _stitched(table: DataFrame) -> DataFrame:
     return table.join(sums, [*ITEM, "range_no"])
 
 
-def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -> DataFrame:
+def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False, with_text: bool = True) -> DataFrame:
     """Pieces: item_kind, item_id, section_no, piece_no (int), start_pos, end_pos, n_words (bigint), text.
 
     A piece has at most limits.words words and begins with the limits.overlap last words of the one before. Positions
     count the item's characters; joined without their overlaps, the pieces' words are the item's. Items within the
     limit come out, as one piece, only with keep_small; empty texts then give one empty piece. Repeated items come once.
+    Without texts only the offsets come, for who reads the pieces where they lie; end_pos is then the next word's beginning.
     """
     table = _counted(cut, limits, keep_small).dropDuplicates([*ITEM, "range_no"])
+    table = table if with_text else table.drop("text")
     table = materialize(table, "ranges")
     placed = _stitched(table)
     if not keep_small:
@@ -289,6 +291,8 @@ def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False) -
     offsets = offsets.groupBy(*ITEM, "piece_no").agg(F.max(F.when(F.col("which") == 0, F.col("at"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("at"))).alias("b"))
     spans = pieces.join(offsets, [*ITEM, "piece_no"], "left").select(*ITEM, "piece_no", "first", "stop", F.coalesce("a", F.lit(0).cast("long")).alias("a"), F.coalesce("b", "chars").alias("b"))
 
+    if not with_text:
+        return spans.select(*ITEM, "piece_no", F.col("a").alias("start_pos"), F.col("b").alias("end_pos"), (F.col("stop") - F.col("first")).alias("n_words"))
     size = limits.range_chars
     wanted = spans.select("*", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.greatest(F.col("a"), F.col("b") - 1) / size))).alias("bucket"))
     held = placed.select(*ITEM, "range_no", "text", "char0", "n_chars", F.explode(F.sequence(F.floor(F.col("char0") / size), F.floor(F.greatest(F.col("char0"), F.col("char0") + F.col("n_chars") - 1) / size))).alias("bucket"))

@@ -118,3 +118,25 @@ def test_signed_deltas(spark, monkeypatch):
     gone = token_budget.update(after, full.limit(0))
     assert cube(gone) == {}
     assert token_budget.totals(base.cube).where("source = '*' and lang = '*' and host = '*'").first()["n_articles"] == 5
+
+
+def test_ledger_is_saved_and_opened(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    full = articles(spark, ROWS)
+    assert token_budget.open_ledger(spark, path).cube is None
+    token_budget.save(token_budget.update(token_budget.Ledger(), full), path)
+    changed = full.limit(3)
+    opened = token_budget.open_ledger(spark, path)
+    after = token_budget.update(opened, changed)
+    assert after.fresh.count() == 0  # all contents were counted before
+    token_budget.save(after, path, opened=path)
+    again = token_budget.open_ledger(spark, path)
+    assert cube(again) == cube(token_budget.update(token_budget.Ledger(), changed))
+    assert again.counts.count() == opened.counts.count()
+    gone = token_budget.update(again, full.limit(0))
+    assert gone.cube.count() == 0
+
+
+def test_repeated_contents_are_counted_once_a_task(spark):
+    rows = spark.createDataFrame([(b"a", "x y"), (b"a", "x y"), (b"b", "")], "h binary, t string").coalesce(1)
+    assert sorted((bytes(r["h"]), r["n_tokens"]) for r in token_budget._counted(rows, PATH).collect()) == [(b"a", 2), (b"b", 0)]
