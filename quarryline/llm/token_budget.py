@@ -95,8 +95,8 @@ def open_ledger(spark: SparkSession, path: str) -> Ledger:
     return Ledger(counts, spark.read.parquet(f"{path}/state-{max(states)}/placed"), spark.read.parquet(f"{path}/state-{max(states)}/cube"))
 
 
-def _counted(texts: DataFrame, path: str) -> DataFrame:
-    """(h, n_tokens) of the texts t; what a task has counted already it doesn't count again."""
+def count_tokens(texts: DataFrame, text: str, path: str) -> DataFrame:
+    """(h, n_tokens) of the texts; what a task has counted already it doesn't count again."""
     shared = texts.sparkSession.sparkContext.broadcast(rank_file(path))
 
     def make():
@@ -116,7 +116,7 @@ def _counted(texts: DataFrame, path: str) -> DataFrame:
 
         return step
 
-    return map_batches(texts, "h binary, n_tokens bigint", make)
+    return map_batches(texts.select("h", text), "h binary, n_tokens bigint", make)
 
 
 def _documents(articles: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def update(ledger: Ledger, articles: DataFrame, path: str = BYTE_BPE_50K) -> Led
         unseen = materialize(wanted.join(counts.where(F.col("tokenizer") == mark), "h", "left_anti"), "unseen")
         few = unseen.count() <= BROADCAST_HASHES
         texts = texts.join(F.broadcast(unseen) if few else unseen, "h", "left_semi")
-    fresh = materialize(_counted(texts.select("h", "t"), path).groupBy("h").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(mark)), "counts")
+    fresh = materialize(count_tokens(texts, "t", path).groupBy("h").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(mark)), "counts")
     counted = fresh if counts is None else counts.unionByName(fresh)
     priced = now.join(counted.where(F.col("tokenizer") == mark).select("h", "n_tokens"), "h", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     placed = materialize(priced.select("id", *SLICE, "n_tokens"), "placed")

@@ -139,4 +139,4 @@ def test_ledger_is_saved_and_opened(spark, tmp_path):
 
 def test_repeated_contents_are_counted_once_a_task(spark):
     rows = spark.createDataFrame([(b"a", "x y"), (b"a", "x y"), (b"b", "")], "h binary, t string").coalesce(1)
-    assert sorted((bytes(r["h"]), r["n_tokens"]) for r in token_budget._counted(rows, PATH).collect()) == [(b"a", 2), (b"b", 0)]
+    assert sorted((bytes(r["h"]), r["n_tokens"]) for r in token_budget.count_tokens(rows, "t", PATH).collect()) == [(b"a", 2), (b"b", 0)]
