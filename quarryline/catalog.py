@@ -350,12 +350,17 @@ OPEN = f"""with q as (select distinct request_id, user_ref, requested_at, lower(
         case when open and not c and not e then 'active_inquiry' else 'classifier' end as decided_by, count(*) as n from c group by all"""
 
 
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """(context_key, saved_at, status): the users' latest contexts."""
+    rows = _t(spark, d, "patient_contexts").where("context_key is not null")
+    return rows.groupBy("context_key").agg(F.max(F.struct("saved_at", "status")).alias("v")).select("context_key", "v.*")
+
+
 @query(OPEN)
 def route_open(spark: SparkSession, d: str) -> DataFrame:
     """Routing beside open inquiries: the users' latest contexts."""
-    contexts = _t(spark, d, "patient_contexts").where("context_key is not null").groupBy("context_key").agg(F.max(F.struct("saved_at", "status")).alias("v")).select("context_key", "v.*")
     asked = _t(spark, d, "chat_requests").select("request_id", "user_ref", "requested_at", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    out = guards.decided(asked.withColumn("allowed", T.strip(F.col("text")) != ""), "text", inquiries=contexts)
+    out = guards.decided(asked.withColumn("allowed", T.strip(F.col("text")) != ""), "text", inquiries=_contexts(spark, d))
     return out.groupBy("request_id", "route", "decided_by").agg(F.count("*").alias("n"))
 
 
@@ -646,7 +651,7 @@ def update_lease(spark: SparkSession, d: str) -> DataFrame:
     return sessions.lease_fold(e.select(F.col("user_id").alias("update_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), "event_id"), ["at", "event_id"])
 
 
-@query()
+@query("""select record_id, saved_at, coalesce(epoch_us(saved_at) - epoch_us(try_cast(updated_at as timestamptz)) > 1800000000, false) as stale from patient_contexts""")
 def session_stale(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "patient_contexts")
     return c.select("record_id", "saved_at", sessions.stale(F.col("updated_at"), F.col("saved_at")).alias("stale"))
@@ -716,3 +721,11 @@ def answer(spark: SparkSession, d: str) -> DataFrame:
     asked = sessions.first_of_each(_t(spark, d, "chat_requests").where("request_id is not null").select("request_id", "text"), ["request_id"], [F.col("text")])
     searched = F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % EVERY == 0
     return answering.answer(asked.where(searched), answering.build_index(_t(spark, d, "articles")))
+
+
+@query()
+def handle(spark: SparkSession, d: str) -> DataFrame:
+    """Requests from guards to results, beside the users' open inquiries and without a model."""
+    asked = sessions.first_of_each(_t(spark, d, "chat_requests").where("request_id is not null").select("request_id", "user_ref", "requested_at", "text"), ["request_id"], [F.col("requested_at")])
+    searched = F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % EVERY == 0
+    return answering.handle(asked.where(searched), answering.build_index(_t(spark, d, "articles")), _contexts(spark, d)).select("request_id", "route", "agent", "status", "answer", F.array_join("evidence_ids", "|").alias("evidence_ids"))

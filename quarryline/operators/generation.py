@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..providers import LLM
-from . import evidence
+from . import evidence, sessions
 
 #: What is said where nothing is generated, by language.
 REPLIES = {
@@ -135,6 +135,23 @@ def rewritten(df: DataFrame, query: str = "text", llm: LLM | None = None) -> Dat
     }).drop("__p")
 
 
+EXTRACT = """Say what the message tells of the sender's complaint. Give one JSON object with symptom, onset_or_duration, trajectory, severity, associated, relevant_context and next_question; leave empty what it doesn't say.
+
+Message:
+{query}
+"""
+
+
+def extracted(df: DataFrame, text: str = "text", llm: LLM | None = None) -> DataFrame:
+    """Adds what each message says by field, and next_question (null without a model): what the model says where it says something, else what the rules find."""
+    found = sessions.extracted(F.coalesce(df[text], F.lit("")))
+    if llm is None:
+        return df.withColumns({**found, "next_question": F.lit(None).cast("string")})
+    out = df.withColumn("__c", completed(F.replace(F.lit(EXTRACT), F.lit("{query}"), F.coalesce(df[text], F.lit(""))), llm)).withColumn("__p", evidence.json_object(F.col("__c.text"))).drop("__c")
+    told = lambda name: F.nullif(T.strip(F.get_json_object("__p", f"$.{name}")), F.lit(""))
+    return out.withColumns({**{name: F.coalesce(told(name), c) for name, c in found.items()}, "next_question": told("next_question")}).drop("__p")
+
+
 def judged_answers(df: DataFrame, payload: str = "payload") -> DataFrame:
     """What becomes of a model's answers: adds status, answer, claims, evidence_ids, citations and validation.
 
