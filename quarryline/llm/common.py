@@ -32,10 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has written, and gives their number. Nothing that was made of them may be used afterwards."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and outlives an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

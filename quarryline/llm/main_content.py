@@ -14,8 +14,9 @@ items is as thin as a menu (the README has figures).
 The corpus contributes a table of the lines that more than a fixed share of its
 pages carry; since a page has some fifty lines, the table's size is bounded by
 fifty over that share, whatever the corpus's size. Lines of any length that only
-a source's own pages repeat are counted by source and hash, with the same share
-of these pages; their table grows with the sources and is joined to the pages.
+a source's own pages repeat are counted by source and hash, where a small fixed
+number of pages is enough; their table grows with the sources and is joined to
+the pages.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ def cued(line: str, low: str) -> bool:
 
 LONG = 100
 SHORT = 150
-#: Share of its density that link text must leave a line, and the share of list places that a bullet counts for.
-STANDING, LISTED = 0.05, 0.5
+#: Share of its density that link text must leave a line, the share of list places that a bullet counts for, and the pages that a share of a half is worth.
+STANDING, LISTED, DRAWN = 0.05, 0.5, 4
 
 
 def squeezed(line: str) -> str:
@@ -177,7 +178,7 @@ def _frame(key: str) -> tuple[str, str] | None:
 
 
 def _learnt(df: DataFrame, content: str, share: float = 5e-4, least: int = 6) -> tuple[Site, DataFrame]:
-    """What learn() gives, and (h, n, long, inside, title, frames): lines of at least that share of their source's pages, by hash."""
+    """What learn() gives, and (h, n, long, inside, title, frames): lines of at least `least` pages of a source, by hash."""
 
     def run(batches):
         held: dict[tuple[str, str], list[int]] = {}
@@ -199,8 +200,7 @@ def _learnt(df: DataFrame, content: str, share: float = 5e-4, least: int = 6) ->
     sums = [F.sum(c).alias(c) for c in ("n", "long", "inside", "title")]
     source = _columns(df, content).where("c is not null and c <> ''")
     counted = materialize(source.mapInArrow(run, "site bigint, h bigint, key string, n bigint, long bigint, inside bigint, title bigint").groupBy("site", "h", "key").agg(*sums), "lines")
-    of = counted.where(F.col("key") == _PAGES).select("site", F.col("n").alias("pages"))
-    pages = of.agg(F.sum("pages")).first()[0] or 0
+    pages = counted.where(F.col("key") == _PAGES).agg(F.sum("n")).first()[0] or 0
     rows = counted.where(F.col("key").isNotNull() & (F.col("key") != _PAGES)).groupBy("key").agg(*sums).where(F.col("n") >= max(least, share * pages)).collect()
     site = Site()
     for r in rows:
@@ -211,7 +211,7 @@ def _learnt(df: DataFrame, content: str, share: float = 5e-4, least: int = 6) ->
             site.lines[k] = (n, r["long"] / n, r["inside"] / n, r["title"] / n)
             if r["long"] / n < 0.75 and (frame := _frame(k)):
                 site.frames.append(frame)
-    own = counted.where((F.col("n") >= least) & (F.col("key").isNull() | (F.col("key") != _PAGES))).join(of, "site").where(F.col("n") >= share * F.col("pages"))
+    own = counted.where((F.col("n") >= least) & (F.col("key").isNull() | (F.col("key") != _PAGES)))
     frames = own.where(F.col("key").contains("<t>") & (F.col("long") < 0.75 * F.col("n"))).groupBy("site").agg(F.collect_set("key").alias("frames"))
     none = [F.lit(0).cast("bigint").alias(c) for c in ("n", "long", "inside", "title")]
     own = own.select("h", "n", "long", "inside", "title", F.lit(None).cast("array<string>").alias("frames")).unionByName(frames.select(F.col("site").alias("h"), *none, "frames"))
@@ -320,7 +320,9 @@ def furniture(content: str, title: str | None, source: str | None, site: Site, o
         elif known == "F" and line[-1] != ":":
             kinds[i] = "F"
             if not cued(line, key) and not _related.match(line) and "<" not in key:
-                lists[i] = min(1.0, max(site.lines[key][2], LISTED if _bullet.match(line) else 0.0))
+                # The share is drawn to a half where few pages have the line.
+                seen, inside = site.lines[key][0], site.lines[key][2]
+                lists[i] = max((seen * inside + DRAWN / 2) / (seen + DRAWN), LISTED if _bullet.match(line) else 0.0)
         elif _bullet.match(line) and not cued(line, key):
             kinds[i] = "L"
         elif line[-1] == ":" and not _related.match(line):

@@ -80,6 +80,8 @@ def evidence_sections(df: DataFrame, key: str = "evidence_id", section: str = "s
 
 
 ITEM = ["item_kind", "item_id", "section_no"]
+#: Ranges of files that a task reads on average, and that it gives at a time.
+TASK_RANGES, AT_A_TIME = 256, 16
 #: Ranges whose sums one task works out.
 BLOCK = 1024
 _RANGE = "item_kind string, item_id string, section_no int, range_no bigint, single boolean, text string, before string"
@@ -129,29 +131,34 @@ def file_ranges(spark: SparkSession, paths: list[str], limits: Limits = Limits()
         rows.append((path, size))
     n = limits.range_chars
     listed = spark.createDataFrame(rows, "path string, size bigint")
-    spread = listed.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / n)))).alias("range_no")).repartition(F.col("path"), F.col("range_no"))
+    # The list is small whatever lies behind it: tasks are made by the ranges to read, and give a few of them at a time.
+    tasks = max(1, -(-sum(-(-size // n) for _, size in rows) // TASK_RANGES))
+    spread = listed.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / n)))).alias("range_no")).repartition(tasks, "path", "range_no")
 
     def make():
         open_files: dict[str, object] = {}
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [], [], [], [], [], [], []
-            for path, size, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if path not in open_files:
-                    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                    open_files[path] = system.open_input_file(at)
-                f = open_files[path]
-                low, begin, end = max(0, r * n - 4 * limits.halo), r * n, min(size, (r + 1) * n)
-                data = f.read_at(min(size, end + 3) - low, low)
-                a, b = begin - low, end - low
-                while a < len(data) and a > 0 and data[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(data) and data[b] & 0xC0 == 0x80:
-                    b += 1
-                for to, x in zip(rows, ("file", path, 0, r, size <= n, data[a:b].decode("utf-8", "replace"), data[:a].decode("utf-8", "ignore")[-limits.halo :])):
-                    to.append(x)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=[*ITEM, "range_no", "single", "text", "before"])
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+
+        def read(path: str, size: int, r: int) -> tuple:
+            if path not in open_files:
+                if len(open_files) >= 64:
+                    open_files.popitem()[1].close()
+                system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                open_files[path] = system.open_input_file(at)
+            low, begin, end = max(0, r * n - 4 * limits.halo), r * n, min(size, (r + 1) * n)
+            data = open_files[path].read_at(min(size, end + 3) - low, low)
+            a, b = begin - low, end - low
+            while a < len(data) and a > 0 and data[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(data) and data[b] & 0xC0 == 0x80:
+                b += 1
+            return "file", path, 0, r, size <= n, data[a:b].decode("utf-8", "replace"), data[:a].decode("utf-8", "ignore")[-limits.halo :]
+
+        def step(batch: pa.RecordBatch):
+            wanted = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for at in range(0, len(wanted), AT_A_TIME):
+                rows = zip(*(read(*x) for x in wanted[at : at + AT_A_TIME]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=[*ITEM, "range_no", "single", "text", "before"])
 
         return step
 

@@ -140,3 +140,13 @@ def test_list_items_that_counts_take_for_furniture(spark):
     df = spark.createDataFrame(rows, "article_id long, title string, source string, content string")
     gone = {(r["article_id"], r["line_no"]) for r in main_content.page_furniture(df).collect()}
     assert gone == {(i, n) for i in range(60) for n in (0, 1, 6, 10)}
+
+
+def test_few_pages_of_a_source_are_enough(spark):
+    """Whatever share of all pages a line must be on to be known to all, its own source knows it from six pages on."""
+    legal = "The trustees of this house answer for nothing that is written in these leaflets"
+    rows = [(i, "Title number " + "x" * i, "Small" if i < 6 else "Large", "\n".join([PARA.format("y" * i), *([legal] if i < 6 else []), PARA.format("z" * i)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "article_id long, title string, source string, content string")
+    site, own = main_content._learnt(df, "content", share=0.9)
+    known = {r["h"] for r in own.collect()}
+    assert main_content.leaf_key(legal, "", "") not in site.lines and main_content._hash("small", main_content.leaf_key(legal, "", "")) in known
