@@ -368,7 +368,8 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     Both texts have at least `least_words` words. Rows with a null key or text are left out; rows that repeat a key must
     repeat its text and count once. Different texts give all pairs of their records. More than `copies` records of the very
     same text are paired with the first of them only, and with other texts that one stands for all unless `every_copy` is
-    set (see `similar_groups` for the membership). classes=21 and floor=0 look at every line and leave out no pair that meets
+    set; then each copy is paired with each record of other texts, but two texts of as many records, all of whose pairs
+    would be their product, with the first of the other (see `copy_classes` for the membership). classes=21 and floor=0 look at every line and leave out no pair that meets
     before its sets of shingles are compared; by default some are missed at the stated rates. Extra columns are ignored; an empty table gives no rows.
     """
     marked, heads, checked = _similar_classes(df, key, text, similarity, width, least_words, classes, crowded, block, floor)
@@ -380,21 +381,35 @@ def similar_pairs(df: DataFrame, key: str = "evidence_id", text: str = "text", s
     if not large.isEmpty():
         # Classes of many records by their texts: different texts meet text by text, so that no copies meet in vain.
         own = materialize(marked.select("id", "digest", "raw").join(large, "digest", "left_semi").distinct(), "large")
-        texts = own.groupBy("digest", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        texts = materialize(own.groupBy("digest", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
         placed = own.join(texts, ["digest", "raw"])
         few = placed.where(F.col("n") <= copies).select("digest", "raw", "id")
         star = placed.where((F.col("n") > copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
         same = few.select("digest", "raw", F.col("id").alias("x")).join(few.select("digest", "raw", F.col("id").alias("y")), ["digest", "raw"]).where("x < y").select("x", "y")
         seen = own if every_copy else placed.where((F.col("n") <= copies) | (F.col("id") == F.col("first"))).select("id", "digest", "raw")
-        two = texts.select("digest", F.col("raw").alias("ra")).join(texts.select("digest", F.col("raw").alias("rb")), "digest").where("ra < rb")
-        differ = two.join(seen.select("digest", F.col("raw").alias("ra"), F.col("id").alias("x")), ["digest", "ra"]).join(seen.select("digest", F.col("raw").alias("rb"), F.col("id").alias("y")), ["digest", "rb"]).select("x", "y")
-        within = within.unionByName(star).unionByName(same).unionByName(differ)
-        if not every_copy:
+        side = lambda d: texts.select(*[F.col(c).alias(c + d) for c in ("digest", "raw", "first", "n")])
+        two = side("a").join(side("b").withColumnRenamed("digestb", "digesta"), "digesta").where("rawa < rawb").withColumn("digestb", F.col("digesta"))
+        if every_copy:  # two large classes meet by their texts as well
+            both = checked.join(large.select(F.col("digest").alias("a")), "a", "left_semi").join(large.select(F.col("digest").alias("b")), "b", "left_semi")
+            checked = checked.join(both, ["a", "b"], "left_anti")
+            two = two.unionByName(both.select(F.col("a").alias("digesta"), F.col("b").alias("digestb")).join(side("a"), "digesta").join(side("b"), "digestb"))
+        else:
             shown = members.join(large, "digest", "left_anti").unionByName(seen.select("digest", "id"))
+        within = within.unionByName(star).unionByName(same).unionByName(_of_texts(materialize(two, "texts"), seen, copies))
     across = checked.join(shown.select(F.col("digest").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("digest").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def _of_texts(two: DataFrame, seen: DataFrame, copies: int) -> DataFrame:
+    """(x, y): the records of pairs of different texts. Of two texts with more than `copies` records each, all records of one meet the first of the other."""
+    record = lambda d, name: seen.select(F.col("digest").alias("digest" + d), F.col("raw").alias("raw" + d), F.col("id").alias(name))
+    many = (F.col("na") > copies) & (F.col("nb") > copies)
+    every = two.where(~many).join(record("a", "x"), ["digesta", "rawa"]).join(record("b", "y"), ["digestb", "rawb"]).select("x", "y")
+    one = two.where(many).join(record("a", "x"), ["digesta", "rawa"]).select("x", F.col("firstb").alias("y"))
+    other = two.where(many).join(record("b", "y"), ["digestb", "rawb"]).select(F.col("firsta").alias("x"), "y")
+    return every.unionByName(one).unionByName(other)
+
+
 def copy_classes(df: DataFrame, key: str = "evidence_id", text: str = "text") -> DataFrame:
     """(id, class_id, class_size) of each record with a text: the records of the very same text, named by their smallest id.
 

@@ -110,7 +110,7 @@ def p6_files(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
     table(spark, d, "documents").where("text is not null").select("text").repartition(4).write.text(path)
     paths = splitting.files_in(spark, path)
-    limits = splitting.Limits()
+    limits = splitting.Limits(range_chars=1 << 14)
     pieces = splitting.split(splitting.file_ranges(spark, paths, limits), limits, keep_small=True, with_text=False)
     whole = F.sum(F.col("n_words") - F.when(F.col("piece_no") > 0, limits.overlap).otherwise(0))
     return pieces.agg(whole.alias("n_words"), (F.max("n_words") <= limits.words).alias("within"))

@@ -138,3 +138,18 @@ def test_covering_by_a_perfect_code_costs_half_of_all_pairs():
     assert nd.code_cost(0) == (1.0, 2048 / 2**23)
     spread, share = nd.code_cost(8)  # a third of 25 of 69 bits, which similarity 0.6 asks for
     assert spread > 2000 and share > 0.49
+
+
+def test_two_groups_of_many_copies(spark):
+    """Two near texts of many copies each: no product of both, but each record has the other text's first one, and the classes tell the rest."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"a{i}", text) for i in range(8)] + [(f"b{i}", text + " more") for i in range(7)] + [("c", text + " else")]
+    df = spark.createDataFrame(rows, "evidence_id string, text string")
+    got = {tuple(r) for r in nd.similar_pairs(df, copies=4, every_copy=True).collect()}
+    group = lambda p, n: [f"{p}{i}" for i in range(n)]
+    want = {("a0", x) for x in group("a", 8)[1:]} | {("b0", x) for x in group("b", 7)[1:]} | {(x, "c") for x in group("a", 8) + group("b", 7)}
+    want |= {(x, "b0") for x in group("a", 8)} | {("a0", y) for y in group("b", 7)}
+    assert got == want
+    classes = {r["id"]: r["class_id"] for r in nd.copy_classes(df).collect()}
+    links = {(classes[x], classes[y]) for x, y in got}
+    assert {(x, y) for x, y in brute(rows) if classes[x] == classes[y] or (classes[x], classes[y]) in links} == brute(rows)
