@@ -271,8 +271,8 @@ def payload_normalize(spark: SparkSession, d: str) -> DataFrame:
 def collection_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A collection is created, filled, and filled again with some points replaced."""
     docs = _t(spark, d, "documents")
-    known = store.Collections(spark, f"{store.shared_dir(spark).rstrip('/')}/collections-query")
-    name = f"c{abs(hash(d))}"
+    known = store.Collections(spark, store.fresh_dir(spark, "collections"))
+    name = "leaflets"
     known.create(name, "point_id bigint, title string", "clean")
     known.upsert(name, docs.where("doc_type in ('leaflet', 'faq')").select(F.col("doc_id").alias("point_id"), "title"))
     known.upsert(name, docs.where("doc_type = 'faq'").select(F.col("doc_id").alias("point_id"), F.concat(F.lit("new "), "doc_id").alias("title")))
@@ -492,15 +492,19 @@ def format_context(spark: SparkSession, d: str) -> DataFrame:
     return evidence.format_context(e).select("request_id", F.md5("context").alias("context_hash"))
 
 
-CLAIMS = """concat('note {"claims": [{"text": "', replace(replace(replace(coalesce(user_ref, ''), '\\\\', ''), '"', ''), chr(10), ' '), '", "evidence_ids": ["', request_id, '", "x"]}, 7, {"claim_id": "c", "text": " ", "evidence_ids": "', request_id, '"}]} end')"""
+# Answers of four kinds by the request's number: claims in prose, the same fenced with one id for a list, claims that are no list, and no JSON.
+KIND = "cast(regexp_extract(request_id, '([0-9]+)$', 1) as bigint) % 4"
+_CLAIM = """replace(replace(replace(coalesce(user_ref, ''), '\\\\', ''), '"', ''), chr(10), ' ')"""
+CLAIMS = f"""case {KIND} when 0 then concat('note {{"claims": [{{"text": "', {_CLAIM}, '", "evidence_ids": ["', request_id, '", "x"]}}, 7, {{"claim_id": "c", "text": " ", "evidence_ids": "', request_id, '"}}]}} end')
+    when 1 then concat('```json', chr(10), '{{"status": "answered", "claims": [{{"claim_id": "", "text": "', {_CLAIM}, '", "evidence_ids": "', request_id, '"}}, {{"text": "none of ours", "evidence_ids": ["y", "", null]}}]}}', chr(10), '```')
+    when 2 then '{{"claims": "none"}}' else 'no claims' end"""
+SAID = f"""r as (select distinct request_id, {KIND} as k, replace(replace(replace(coalesce(user_ref, ''), chr(92), ''), '"', ''), chr(10), ' ') as t from chat_requests where request_id is not null)"""
 
 
-@query("""with r as (select distinct request_id, coalesce(user_ref, '') as t from chat_requests where request_id is not null) select request_id, (case when trim(t) <> '' then 1 else 0 end)::int as n_valid, 2 as n_claims, case when trim(t) <> '' then 'claim_001' end as first_id from r""")
+@query(f"""with {SAID} select request_id, (case when k < 2 and trim(t) <> '' then 1 else 0 end)::int as n_valid, case when k < 2 then 2 else 0 end as n_claims, case when k < 2 and trim(t) <> '' then 'claim_001' end as first_id from r""")
 def validate_claims(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "chat_requests").where("request_id is not null").select("request_id", F.expr(CLAIMS).alias("payload")).distinct()
-    allowed = F.array("request_id")
-    claims = rows.select("request_id", evidence.claims_of(F.col("payload")).alias("claims"))
-    valid = claims.select("request_id", "claims", evidence.valid_claims(F.col("claims"), allowed).alias("v"))
+    claims = _claims(spark, d)
+    valid = claims.select("request_id", "claims", evidence.valid_claims(F.col("claims"), F.array("request_id")).alias("v"))
     return valid.select("request_id", F.size("v").alias("n_valid"), F.size("claims").alias("n_claims"), F.get("v", F.lit(0))["claim_id"].alias("first_id"))
 
 
@@ -509,13 +513,14 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", evidence.claims_of(F.col("payload")).alias("claims"))
 
 
-@query("""with r as (select distinct request_id, replace(replace(replace(coalesce(user_ref, ''), chr(92), ''), '"', ''), chr(10), ' ') as t from chat_requests where request_id is not null)
-    select request_id, 'claim_001' as claim_id, t as text, request_id || '|x' as ids from r union all select request_id, 'c', ' ', request_id from r""")
+@query(f"""with {SAID} select request_id, 'claim_001' as claim_id, t as text, case k when 0 then request_id || '|x' else request_id end as ids from r where k < 2
+    union all select request_id, 'c', ' ', request_id from r where k = 0 union all select request_id, 'claim_002', 'none of ours', 'y' from r where k = 1""")
 def claims_parse(spark: SparkSession, d: str) -> DataFrame:
     return _claims(spark, d).select("request_id", F.explode("claims").alias("c")).select("request_id", "c.claim_id", "c.text", F.array_join("c.evidence_ids", "|").alias("ids"))
 
 
-@query("""with r as (select distinct request_id, coalesce(user_ref, '') as t from chat_requests where request_id is not null) select request_id, 2 as input_claim_count, (case when trim(t) <> '' then 1 else 0 end)::int as valid_claim_count, case when trim(t) <> '' then 'c' else 'claim_001|c' end as invalid_claim_ids, false as passed from r""")
+@query(f"""with {SAID}, b as (select *, case k when 0 then 'c' else 'claim_002' end as other from r) select request_id, case when k < 2 then 2 else 0 end as input_claim_count, (case when k < 2 and trim(t) <> '' then 1 else 0 end)::int as valid_claim_count,
+    case when k > 1 then '' when trim(t) <> '' then other else 'claim_001|' || other end as invalid_claim_ids, k > 1 as passed from b""")
 def claim_summary(spark: SparkSession, d: str) -> DataFrame:
     s = _claims(spark, d).select("request_id", evidence.claim_summary(F.col("claims"), F.array("request_id")).alias("s")).select("request_id", "s.*")
     return s.withColumn("invalid_claim_ids", F.array_join("invalid_claim_ids", "|"))
@@ -627,14 +632,14 @@ def latest_contexts(spark: SparkSession, d: str) -> DataFrame:
     return sessions.latest_of_each(_t(spark, d, "patient_contexts").select("record_id", "saved_at", "session_version", "status"), ["record_id"], ["saved_at"]).select("record_id", "session_version", "status")
 
 
-QUESTIONS = " ".join(f"when '{k}' then '{v}'" for k, v in sessions.QUESTIONS["en"].items())
+QUESTIONS = {g: " ".join(f"when '{k}' then '{v}'" for k, v in sessions.QUESTIONS[g].items()) for g in ("en", "ar")}
 MISSING = f"list_filter([case when coalesce(len(symptoms), 0) = 0 then 'symptoms' end, case when {_strip("coalesce(onset_or_duration, '')")} = '' then 'onset_or_duration' end, case when {_strip("coalesce(severity, '')")} = '' then 'severity' end, case when coalesce(len(associated_symptoms), 0) = 0 then 'associated_symptoms' end, case when {_strip("coalesce(relevant_context, '')")} = '' then 'relevant_context' end], lambda x: x is not null)"
 
 
-@query(f"""select record_id, saved_at, case coalesce(m[1], 'relevant_context') {QUESTIONS} end as question from (select *, {MISSING} as m from patient_contexts)""")
+@query(f"""select record_id, saved_at, case when language = 'ar' then case coalesce(m[1], 'relevant_context') {QUESTIONS['ar']} end else case coalesce(m[1], 'relevant_context') {QUESTIONS['en']} end end as question from (select *, {MISSING} as m from patient_contexts)""")
 def next_question(spark: SparkSession, d: str) -> DataFrame:
     _, missing = sessions.scored(*[F.col(c) for c in ("symptoms", "onset_or_duration", "severity", "associated_symptoms", "relevant_context")])
-    return _t(spark, d, "patient_contexts").select("record_id", "saved_at", sessions.question(missing, F.lit("en")).alias("question"))
+    return _t(spark, d, "patient_contexts").select("record_id", "saved_at", sessions.question(missing, F.col("language")).alias("question"))
 
 
 @query("""select record_id, saved_at, 'User question: ' || coalesce(array_to_string(symptoms, ', '), '') || case when len(x) > 0 then ' (' || array_to_string(x, ', ') || ')' else '' end || ' - ' || coalesce(next_question, '') as query
@@ -644,10 +649,15 @@ def augmented_query(spark: SparkSession, d: str) -> DataFrame:
     return p.select("record_id", "saved_at", sessions.augmented(F.coalesce("next_question", F.lit("")), *[F.col(c) for c in ("symptoms", "onset_or_duration", "severity", "relevant_context")]).alias("query"))
 
 
-@query()
+@query("""with recursive e as (select user_id, case when event_id % 9 < 6 then 'claim' when event_id % 9 < 8 then 'fail' else 'complete' end as event, ts, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null),
+    f as (select user_id, n, event, ts, true as granted, case event when 'claim' then 'processing' when 'fail' then 'failed' else 'completed' end as status, case when event = 'claim' then ts end as claimed, case when event = 'claim' then 1 else 0 end as attempts from e where n = 1
+        union all select user_id, n, event, ts, granted, case when not granted then status when event = 'claim' then 'processing' when event = 'fail' then 'failed' else 'completed' end, case when granted and event = 'claim' then ts else claimed end, case when granted and event = 'claim' then attempts + 1 else attempts end
+            from (select e.*, f.status, f.claimed, f.attempts, e.event <> 'claim' or not (f.status = 'completed' or f.status = 'processing' and e.ts - f.claimed < interval 300 seconds) as granted from f join e on e.user_id = f.user_id and e.n = f.n + 1))
+    select user_id as update_id, event, ts as at, granted, status, attempts from f""")
 def update_lease(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")
-    event = F.when(F.crc32(F.col("event_type").cast("binary")) % 3 == 0, "claim").when(F.crc32(F.col("event_type").cast("binary")) % 3 == 1, "complete").otherwise("fail")
+    k = F.col("event_id") % 9
+    event = F.when(k < 6, "claim").when(k < 8, "fail").otherwise("complete")
     return sessions.lease_fold(e.select(F.col("user_id").alias("update_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), "event_id"), ["at", "event_id"])
 
 
