@@ -22,8 +22,8 @@ from .store import materialize
 RRF_K, LIST_LIMIT, TOP_K, FLOOR, THRESHOLD = 60, 15, 5, 0.03, 0.2
 #: Bytes of queries that one scan of the points takes with it, as they lie in memory.
 QUERY_BYTES = 64 << 20
-#: Queries that are compared with a batch of points at a time; what this costs beside the batch is a matrix of both.
-QUERY_BLOCK = 2_000
+#: Queries and points that are compared at a time; what this costs is a matrix of both.
+QUERY_BLOCK, POINT_BLOCK = 2_000, 2_048
 
 
 def _scans(queries: DataFrame, cost) -> list[DataFrame]:
@@ -44,20 +44,32 @@ class _Best:
 
     def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores (queries from `first` on x points); -inf is no match."""
+        n, m = scores.shape
+        if not m:
+            return
         if self.ids is None:
             self.ids = np.zeros((len(self.scores), self.limit), ids.dtype)
             self.scores = np.full((len(self.scores), self.limit), -np.inf)
         elif self.ids.dtype != ids.dtype:
             self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
-        rows = slice(first, first + len(scores))
-        order = np.argsort(ids, kind="stable")
-        scores, ids = scores[:, order], ids[order]
-        top = np.argsort(-scores, axis=1, kind="stable")[:, : self.limit]
-        every = np.concatenate([self.scores[rows], np.take_along_axis(scores, top, 1)], axis=1)
-        named = np.concatenate([self.ids[rows], ids[top]], axis=1)
-        keep = np.lexsort((named, -every), axis=1)[:, : self.limit]
-        self.scores[rows] = np.take_along_axis(every, keep, 1)
-        self.ids[rows] = np.take_along_axis(named, keep, 1)
+        rows = slice(first, first + n)
+        # Who reaches the limit-th score of these points and of the list so far, ties among it; few of a matrix do.
+        floor = self.scores[rows, -1]
+        if m > self.limit:
+            floor = np.maximum(floor, np.partition(scores, m - self.limit, axis=1)[:, m - self.limit])
+        r, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        if not len(r):
+            return
+        old, at = np.nonzero(self.scores[rows] > -np.inf)
+        query = np.concatenate([old, r])
+        score = np.concatenate([self.scores[rows][old, at], scores[r, c]])
+        name = np.concatenate([self.ids[rows][old, at], ids[c]])
+        order = np.lexsort((name, -score, query))
+        query, score, name = query[order], score[order], name[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.limit
+        query, place = query[keep] + first, place[keep]
+        self.scores[query, place], self.ids[query, place] = score[keep], name[keep]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, id, score) of all lists."""
@@ -113,7 +125,8 @@ def dense_topk(queries: DataFrame, points: DataFrame, limit: int = LIST_LIMIT, d
                 if batch.num_rows:
                     v, keys = _unit(_vectors(batch.column(1))), np.array(batch.column(0).to_pylist())
                     for at in range(0, len(ids), QUERY_BLOCK):
-                        best.add(at, np.round(q[at : at + QUERY_BLOCK] @ v.T, digits) + 0.0, keys)
+                        for low in range(0, len(v), POINT_BLOCK):
+                            best.add(at, np.round(q[at : at + QUERY_BLOCK] @ v[low : low + POINT_BLOCK].T, digits) + 0.0, keys[low : low + POINT_BLOCK])
             i, found, score = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(i)), pa.array(found.tolist(), batch_type), pa.array(score, pa.float64())], names=["query_id", "id", "score"])
 
@@ -269,7 +282,8 @@ def dense_search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, pr
             v, keys = _unit(_vectors(right["vector"].combine_chunks())), np.array(right["id"].to_pylist())
             asked_ = _unit(_vectors(left["vector"].combine_chunks()))
             for at in range(0, len(ids), QUERY_BLOCK):
-                best.add(at, np.round(asked_[at : at + QUERY_BLOCK] @ v.T, digits) + 0.0, keys)
+                for low in range(0, len(v), POINT_BLOCK):
+                    best.add(at, np.round(asked_[at : at + QUERY_BLOCK] @ v[low : low + POINT_BLOCK].T, digits) + 0.0, keys[low : low + POINT_BLOCK])
             i, found, score = best.rows()
             q, found = [ids[x] for x in i], found.tolist()
         return pa.table([pa.array(q, q_arrow), pa.array(found, id_arrow), pa.array(score, pa.float64())], names=["query_id", "id", "score"])
