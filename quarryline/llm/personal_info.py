@@ -281,6 +281,10 @@ def _rows(batch: pa.RecordBatch, first: int):
     return zip(*(batch.column(first + i).to_pylist() for i in range(len(FIELDS))))
 
 
+#: Names of a list at most.
+LARGEST_LIST = 1_000_000
+
+
 def learn(df: DataFrame, names: DataFrame, share: float = 0.0015, least: int = 8) -> Lexicon:
     """The list of names and the words of more than `share` of the texts, which are at most a text's words over that share."""
 
@@ -303,6 +307,8 @@ def learn(df: DataFrame, names: DataFrame, share: float = 0.0015, least: int = 8
     counts = materialize(df.select(*FIELDS).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "words")
     total = sum(r["n"] for r in counts.where("w = ''").collect())
     common = {r["w"] for r in counts.where((F.col("n") >= max(least, share * total)) & (F.col("w") != "")).collect()}
+    if names.count() > LARGEST_LIST:
+        raise ValueError(f"a list of more than {LARGEST_LIST} names is no list to be sent to the tasks")
     listed = {folded(r[0]).strip().lower() for r in names.select("name_text").where("name_text is not null").collect()}
     return Lexicon(frozenset(n for n in listed if n), frozenset(common))
 
