@@ -293,7 +293,10 @@ def split(cut: DataFrame, limits: Limits = Limits(), keep_small: bool = False, w
     # Numbers of words to offsets: by buckets of numbers, so that an item of any size takes no more than equi-joins.
     pieces = materialize(pieces, "pieces")
     ends = pieces.select(*ITEM, "piece_no", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("first").alias("w")), F.struct(F.lit(1).alias("which"), F.col("stop").alias("w")))).alias("e")).select(*ITEM, "piece_no", "e.*").withColumn("bucket", F.floor(F.col("w") / 4096))
-    covered = placed.where("n_words > 0").select(*ITEM, "starts", "word0", "char0", "n_words", F.explode(F.sequence(F.floor(F.col("word0") / 4096), F.floor((F.col("word0") + F.col("n_words") - 1) / 4096))).alias("bucket"))
+    covered = placed.where("n_words > 0").select(*ITEM, "starts", "word0", "char0", F.explode(F.sequence(F.floor(F.col("word0") / 4096), F.floor((F.col("word0") + F.col("n_words") - 1) / 4096))).alias("bucket"))
+    skip = F.greatest(F.col("bucket") * 4096 - F.col("word0"), F.lit(0)).cast("int")  # a bucket gets its own words only
+    upto = ((F.col("bucket") + 1) * 4096 - F.col("word0") - skip).cast("int")
+    covered = covered.select(*ITEM, "bucket", "char0", F.slice("starts", skip + 1, upto).alias("starts"), (F.col("word0") + skip).alias("word0")).withColumn("n_words", F.size("starts"))
     offsets = ends.join(covered, [*ITEM, "bucket"]).where("w >= word0 and w < word0 + n_words").select(*ITEM, "piece_no", "which", (F.col("char0") + F.get("starts", (F.col("w") - F.col("word0")).cast("int"))).alias("at"))
     offsets = offsets.groupBy(*ITEM, "piece_no").agg(F.max(F.when(F.col("which") == 0, F.col("at"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("at"))).alias("b"))
     spans = pieces.join(offsets, [*ITEM, "piece_no"], "left").select(*ITEM, "piece_no", "first", "stop", F.coalesce("a", F.lit(0).cast("long")).alias("a"), F.coalesce("b", "chars").alias("b"))
