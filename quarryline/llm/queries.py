@@ -108,7 +108,7 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
     """Files of texts, by byte ranges: how many words their pieces have without the overlaps, and whether all are within the limit."""
     path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    table(spark, d, "documents").where("text is not null").select("text").repartition(4).write.text(path)
+    table(spark, d, "documents").where("text is not null").select("text").write.text(path)
     paths = splitting.files_in(spark, path)
     limits = splitting.Limits(range_chars=1 << 14)
     pieces = splitting.split(splitting.file_ranges(spark, paths, limits), limits, keep_small=True, with_text=False)
