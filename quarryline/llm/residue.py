@@ -2,12 +2,13 @@
 
 Records of one template share their fixed words and differ in its slots. A
 segment (a sentence or a line) in which something stands between marks, or a
-technical empty value, gives a frame: the words from the segment's beginning to
-it, and the next word after it. Frames are aligned with the segments of all
-other records that begin alike: where those have other values at that place,
-the frame is a slot. What slots hold between marks are names of variables,
-which tell slots in ambiguous marks ([x], <x>, ...) from brackets of the text;
-an empty value is residue in a slot and an ordinary word elsewhere.
+technical empty value, gives a frame: the six words before it, fewer near the
+segment's beginning, and the next word after it. Frames are aligned with every
+place in the segments of all other records that has the same words before it:
+where those have other values at that place, the frame is a slot. What slots
+hold between marks are names of variables, which tell slots in ambiguous marks
+([x], <x>, ...) from brackets of the text; an empty value is residue in a slot
+and an ordinary word elsewhere.
 
 Error pages are whole-page templates: segments that several different texts
 have and that, where they occur, mostly make up the page. No list of words is
@@ -24,6 +25,7 @@ at most those of a segment over `FILLER_SHARE`.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import ahocorasick
@@ -178,6 +180,10 @@ TEXTS = 5
 #: Share of the segments with fixed filler sentences in which a word must stand to count as one of filler.
 FILLER_SHARE = 0.01
 _BLOOM_BITS = 1 << 23
+#: What a head's hash is multiplied by before the next word's is added.
+_FACTOR = 0x9E3779B97F4A7C15
+#: Kinds of words: one that ends a sentence, one that a slot may hold in place of an empty value, one of filler.
+_ENDS, _FITS, _IN_FILLER = 1, 2, 4
 #: What tells a whole head from the pairs of a head and a next word in the bit set.
 _WHOLE = 0x5BD1E995
 _MARKS = "{}[]<>%$@#*_«»|("
@@ -202,13 +208,44 @@ _words = _Words()
 
 def _longer(head: int, word: str) -> int:
     """The hash of some words and one more; 0 words have 0."""
-    return (head * 0x9E3779B97F4A7C15 + _words[word]) & 0xFFFFFFFFFFFFFFFF
+    return (head * _FACTOR + _words[word]) & 0xFFFFFFFFFFFFFFFF
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class _Vocabulary(dict):
+    """Numbers of words; what is to be known of a word is worked out once and stands in columns at its number."""
+
+    def __init__(self, filler: frozenset[str]):
+        self.filler = filler
+        self.hashes, self.tails, self.kinds = array("Q"), array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(_edges)
+        fits = not _any_mark.search(word) and not _empty.match(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.tails.append(xxhash.xxh3_64_intdigest(bare) if bare else 0)
+        self.kinds.append(_ENDS * (word[-1] in ".!?؟") | _FITS * fits | _IN_FILLER * (bare in self.filler))
+        n = self[word] = len(self)
+        return n
+
+    def columns(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, hash without the punctuation around it (0 if there is nothing else) and kinds of each word."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.hashes, np.uint64)[at], np.frombuffer(self.tails, np.uint64)[at], np.frombuffer(self.kinds, np.uint8)[at]
+
+
+def _heads(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What `_longer` gives for the words before each word: `HEAD` of them, or as many as `before` says there are in its segment."""
+    heads, factor = np.zeros(len(hashes), np.uint64), 1
+    for i in range(1, min(HEAD, len(hashes) - 1) + 1):
+        heads[i:] += np.where(before[i:] >= i, hashes[:-i] * np.uint64(factor), np.uint64(0))
+        factor = factor * _FACTOR & 0xFFFFFFFFFFFFFFFF
+    return heads
+
+
 def sentences(line: str) -> list[str]:
     """A squeezed line cut after each full stop, exclamation or question mark that a blank follows."""
     return line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").replace("؟ ", "؟\n").split("\n")
@@ -307,8 +344,8 @@ def _evidence(df: DataFrame) -> DataFrame:
     kind seg, soft: a segment h of the page, n hits of notices in it (1 if half of its page has some), the text's own hash in
     tail; soft ones may be missing. span: something between
     marks in the frame (h, tail), its name in key, n = 1 if it can be nothing else. none: an empty value in the frame, n = 1
-    after a label; frames at the beginning of a segment have h = 0 and aren't aligned. pre: hash of the first words of a
-    frame's head. word: a word of a segment of filler (none of a single text). own: decided by fixed values, reason in key.
+    after a label; frames at the beginning of a segment have h = 0 and aren't aligned. word: a word of a segment of filler
+    (none of a single text). own: decided by fixed values, reason in key.
     """
 
     def make():
@@ -330,7 +367,6 @@ def _evidence(df: DataFrame) -> DataFrame:
                     h = 0
                     for word in head.split():
                         h = _longer(h, word)
-                        rows.append(("pre", d, _signed(h), 0, None, 0))
                     rows.append((kind, d, _signed(h), _signed(_words[tail]) if tail else 0, name, n))
                 why = fixed_reason(text, low, groups)
                 if why:
@@ -357,20 +393,26 @@ def _bits(spark, hashes: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _others(df: DataFrame, ev: DataFrame, asked: DataFrame, filler: set[str]) -> tuple[DataFrame, DataFrame]:
-    """((h, tail, other): texts that begin like a frame and have something else in its place; d of texts with a segment of filler words).
+def _others(df: DataFrame, asked: DataFrame, filler: set[str], at_once: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """((h, tail, other): texts that somewhere have a frame's words and something else in its place; d of texts with a segment of filler words).
 
-    Which frames are asked for comes as bit sets of fixed size; what passes them by chance is dropped by the join later.
+    Every word of every segment is looked at as what may stand in a slot. Which frames are asked for comes as a bit set of
+    fixed size; what passes it by chance is dropped by the join later. Lines are taken until they have `at_once` words.
     """
     spark = df.sparkSession
     pair = F.col("h").bitwiseXOR(F.shiftleft("tail", 1))
     frames_at = asked.select(F.explode(F.array(pair, F.col("h").bitwiseXOR(F.lit(_WHOLE)))).alias("x")).distinct()
-    shared = spark.sparkContext.broadcast((_bits(spark, ev.where("kind = 'pre'").select("h").distinct()), _bits(spark, frames_at), frozenset(filler)))
+    shared = spark.sparkContext.broadcast((_bits(spark, frames_at), frozenset(filler)))
 
     def run(batches):
-        begun, frames_, filler = shared.value
+        packed, filler = shared.value
+        bits = np.frombuffer(packed, np.uint8)
+        vocabulary = _Vocabulary(filler)
         held: Counter = Counter()
-        mask = _BLOOM_BITS - 1
+
+        def asked_for(x):
+            x = (x & np.uint64(_BLOOM_BITS - 1)).astype(np.int64)
+            return bits[x >> 3] >> (x & 7).astype(np.uint8) & 1 > 0
 
         def out(h, tail, other, d):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, tail, other, d)], names=["h", "tail", "other", "d"])
@@ -379,35 +421,60 @@ def _others(df: DataFrame, ev: DataFrame, asked: DataFrame, filler: set[str]) ->
             keys = list(held)
             return out([_signed(k[0]) for k in keys], [_signed(k[1]) for k in keys], [held[k] for k in keys], [None] * len(keys))
 
-        for batch in batches:
-            found = []
-            for d, text, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                keys = set()
+        def aligned(words, stops, rows):
+            """((row, head, tail) of frames with something else in their place, rows with a segment of filler); line i is of rows[i], ends before stops[i]."""
+            hashes, tails, kinds = vocabulary.columns(words)
+            last = kinds & _ENDS > 0
+            last[np.array(stops) - 1] = True
+            ends = np.flatnonzero(last) + 1
+            sizes = np.diff(ends, prepend=0)
+            row = np.repeat(rows, np.diff(stops, prepend=0))
+            fills = np.add.reduceat(kinds & _IN_FILLER > 0, ends - sizes, dtype=np.int64)
+            filled = np.unique(row[ends[(sizes > 3) & (fills >= 0.8 * sizes)] - 1]).tolist()
+            before = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+            heads = _heads(hashes, before)
+            at = np.flatnonzero((before > 0) & (kinds & _FITS > 0))
+            at = at[asked_for(heads[at] ^ np.uint64(_WHOLE))]
+            here, left = heads[at], np.repeat(ends, sizes)[at] - at
+            found = set()
+            for j in range(REACH):
+                inside = np.flatnonzero(left > j)
+                next_ = tails[at[inside] + j] if j else np.zeros(len(inside), np.uint64)
+                ok = ((next_ > 0) | (j == 0)) & asked_for(here[inside] ^ next_ << np.uint64(1))
+                found.update(zip(row[at[inside[ok]]].tolist(), here[inside[ok]].tolist(), next_[ok].tolist()))
+            return found, filled
+
+        def pieces(texts):
+            """(words, where lines end, their rows) of some lines at a time."""
+            words, stops, rows = [], [], []
+            for row, text in enumerate(texts):
                 for line in _digits.sub("0", text.lower()).split("\n"):
-                    for segment in sentences(" ".join(line.split())):
-                        words = segment.split(" ")
-                        if filler and words[0].strip(_edges) in filler and len(words) > 3 and sum(w.strip(_edges) in filler for w in words) >= 0.8 * len(words):
-                            found.append(d)
-                        h = 0
-                        for k in range(1, min(HEAD, len(words) - 1) + 1):
-                            h = _longer(h, words[k - 1])
-                            at = h & mask
-                            if not begun[at >> 3] >> (at & 7) & 1:
-                                break
-                            x = (h ^ _WHOLE) & mask
-                            if not frames_[x >> 3] >> (x & 7) & 1:
-                                continue
-                            rest = words[k : k + REACH]
-                            tails = [t for t in (0, *(_words[w] for w in {w.strip(_edges) for w in rest[1:]} if w)) if (x := (h ^ t << 1) & mask) is not None and frames_[x >> 3] >> (x & 7) & 1]
-                            if tails and not _any_mark.search(rest[0]) and not _empty.match(rest[0]):
-                                keys.update((h, t) for t in tails)
-                held.update(keys)
-            if found:
-                none = [None] * len(found)
-                yield out(none, none, none, found)
-            if len(held) > 200_000:
-                yield counted()
-                held.clear()
+                    split = line.split()
+                    if split:
+                        words += split
+                        stops.append(len(words))
+                        rows.append(row)
+                        if len(words) >= at_once:
+                            yield words, stops, rows
+                            words, stops, rows = [], [], []
+            if words:
+                yield words, stops, rows
+
+        for batch in batches:
+            ids, seen = batch.column(0).to_pylist(), set()
+            for words, stops, rows in pieces(batch.column(1).to_pylist()):
+                found, filled = aligned(words, stops, rows)
+                found -= seen
+                held.update((h, tail) for _, h, tail in found)
+                seen = {x for x in seen | found if x[0] == rows[-1]}  # a text counts once, also if it goes on in the next piece
+                if filled:
+                    none = [None] * len(filled)
+                    yield out(none, none, none, [ids[row] for row in filled])
+                if len(held) > 200_000:
+                    yield counted()
+                    held.clear()
+                if len(vocabulary) > 500_000:
+                    vocabulary = _Vocabulary(filler)
         yield counted()
 
     both = materialize(df.mapInArrow(run, "h bigint, tail bigint, other bigint, d bigint"), "others")
@@ -446,7 +513,7 @@ def reasons(df: DataFrame, text: str = "text", fixed: bool = True) -> DataFrame:
     segments = (words.where("key = ''").agg(F.sum("n")).first()[0] or 0) if fixed else 0
     filler = {r["key"] for r in words.where((F.col("key") != "") & (F.col("n") >= max(3, FILLER_SHARE * segments))).collect()} if segments else set()
     asked = ev.where("kind in ('span', 'none') and h <> 0")
-    others, filled = _others(texts, ev, asked, filler)
+    others, filled = _others(texts, asked, filler)
     frame = asked.groupBy("h", "tail").agg(F.count_distinct("d").alias("here"), F.max(F.when(F.col("kind") == "none", F.col("n")).otherwise(0)).alias("label")).join(others, ["h", "tail"], "left").na.fill(0, ["other"])
     # After a label the value is a slot's if another record has another one, or where too few have any to tell.
     aligned = (F.col("other") >= 1) & (F.col("other") >= 0.2 * F.col("here"))
